@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, licences, packing, sharding, urlfilter
+from . import decontaminate, licences, neardup, packing, sharding, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op5_pack": packing.op5_pack,
+    "op7_near_dedup": neardup.op7_near_dedup,
     "op8_shard": sharding.op8_shard,
     "op9_licences": licences.op9_licences,
 }
@@ -13,5 +14,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_url_filter": urlfilter.ORACLE_SQL,
+    "op7_near_dedup": neardup.ORACLE_SQL,
     "op9_licences": licences.ORACLE_SQL,
 }
