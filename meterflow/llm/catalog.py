@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, licences, neardup, packing, sharding, urlfilter
+from . import decontaminate, licences, neardup, packing, repeats, sharding, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_remove_repeats": repeats.op2_remove_repeats,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op5_pack": packing.op5_pack,
     "op7_near_dedup": neardup.op7_near_dedup,
