@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, licences, neardup, packing, repeats, sharding, urlfilter
+from . import decontaminate, embeddings, licences, neardup, packing, repeats, sharding, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_near_dedup": neardup.op7_near_dedup,
     "op8_shard": sharding.op8_shard,
     "op9_licences": licences.op9_licences,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLE_SQL = {
@@ -17,4 +18,5 @@ ORACLE_SQL = {
     "op3_url_filter": urlfilter.ORACLE_SQL,
     "op7_near_dedup": neardup.ORACLE_SQL,
     "op9_licences": licences.ORACLE_SQL,
+    "op10_embeddings": embeddings.ORACLE_SQL,
 }
