@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, embeddings, licences, neardup, packing, repeats, sharding, urlfilter
+from . import decontaminate, embeddings, licences, neardup, packing, quality, repeats, sharding, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_remove_repeats": repeats.op2_remove_repeats,
     "op3_url_filter": urlfilter.op3_url_filter,
+    "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
     "op7_near_dedup": neardup.op7_near_dedup,
     "op8_shard": sharding.op8_shard,
