@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import gapless_rank, materialize
-from .textbatch import large, pieces
+from .textbatch import TextBatch, large, pieces
 
 WINDOW, END_ID = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Entries of a worker's cache of token ids; it starts anew when it is full.
-MOST_CACHED = 400_000
+#: Entries of a worker's cache of token ids; when it is full, the half that was met more often stays.
+MOST_CACHED = 1_000_000
 
 
 class Ids:
@@ -42,19 +42,24 @@ class Ids:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
-        self._reset()
-
-    def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.n, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
+
+    def _shrink(self) -> None:
+        chunks, at, n, flat, met = list(self.known), self.at, self.n, self.flat, self.met[: len(self.known)]
+        self.known, self.used = {}, 0
+        self.at, self.n, self.flat = at.copy(), n.copy(), flat.copy()
+        for i in np.sort(np.argsort(met, kind="stable")[len(chunks) // 2 :]).tolist():
+            self._add(chunks[i], flat[at[i] : at[i] + n[i]])
+        self.met[:] = 0
 
     def _add(self, chunk: bytes, ids) -> None:
         i = len(self.known)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
         if i >= len(self.at):
-            self.at, self.n = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.n))
+            self.at, self.n, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.n, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[i], self.n[i] = self.used, len(ids)
         self.used += len(ids)
@@ -81,22 +86,23 @@ class Ids:
             if c not in self.known:
                 self._add(c, np.concatenate([self.flat[self.at[i] : self.at[i] + self.n[i]] for i in (self.known[stem], self.known[c[-1:]])]))
 
-    def of(self, text: bytes) -> np.ndarray:
-        chunks = (text if b"<|" in text else text.lower()).split()
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            missing = {c for c, i in zip(chunks, found) if i is None}
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; what isn't known of them is learned at once."""
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        missing = {c for some in chunks for c in some if c not in self.known}
+        if missing:
             if len(self.known) + len(missing) > MOST_CACHED and self.known:
-                self._reset()
-                missing = set(chunks)
+                self._shrink()
+                missing = {c for some in chunks for c in some if c not in self.known}
             self._learn(sorted(missing))
-            found = list(map(self.known.__getitem__, chunks))
-        if not found:
-            return np.zeros(0, np.uint32)
-        index = np.array(found)
-        n = self.n[index]
-        before = np.cumsum(n) - n
-        return self.flat[np.repeat(self.at[index] - before, n) + np.arange(int(n.sum()))]
+        out = []
+        for some in chunks:
+            index = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+            self.met[index] += 1
+            n = self.n[index].astype(np.int64)
+            before = np.cumsum(n) - n
+            out.append(self.flat[np.repeat(self.at[index] - before, n) + np.arange(int(n.sum()))])
+        return out
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -107,13 +113,14 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
         for whole in batches:
             doc_ids, texts = whole.column("doc_id").to_pylist(), large(whole.column("text"))
             out: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(doc_ids, texts):
-                data = text.as_buffer().to_pybytes() if len(text.as_buffer() or b"") else b""
-                ids = np.append(ids_of.of(data), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    for column, v in zip(out, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
-                        column.append(v)
+            for a, b in pieces(texts, 1 << 20):
+                batch = TextBatch(texts.slice(a, b - a))
+                for doc, found in zip(doc_ids[a:b], ids_of.of([batch.bytes(i) for i in range(b - a)])):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        piece = ids[start : start + window]
+                        for column, v in zip(out, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
