@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, embeddings, licences, neardup, packing, quality, repeats, sharding, urlfilter
+from . import decontaminate, embeddings, licences, neardup, packing, quality, repeats, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": neardup.op7_near_dedup,
     "op8_shard": sharding.op8_shard,
     "op9_licences": licences.op9_licences,
