@@ -250,7 +250,7 @@ def _sort(key, table):
 RESULT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, carry: tuple[str, ...]):
     def run(key, left, right):
         seg_ids = left.column("doc_id").combine_chunks()
         ids = seg_ids.fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -277,15 +277,16 @@ def _cut(keep_text: bool):
                 column.append(v)
         if not keep_text:
             out[5] = [hashlib.sha256(x).hexdigest().encode() for x in out[5]]
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"), out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
+        result = {c: pa.array(v, t) for c, v, t in zip(("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"), out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))}
+        return pa.table(result | {c: left.column(c).take(pa.array(order, pa.int64())) for c in carry})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, group_bytes: int = GROUP_BYTES, shard_entries: int = SHARD_ENTRIES, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, shard_entries: int = SHARD_ENTRIES, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, text (what is left, if ``keep_text``: bytes that a cut
-    took from a letter are left out), n_bytes, n_removed, n_spans, kept (SHA-256 of what is left, without ``keep_text``)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    took from a letter are left out), n_bytes, n_removed, n_spans, kept (SHA-256 of what is left, without ``keep_text``), and columns to ``carry`` along."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *carry)
     whole = docs.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("b"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
     total = whole["b"] or 0
     groups = max(-(-total // group_bytes), min(64, whole["n"]), 1)
@@ -299,12 +300,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, group_bytes: int = G
     def group_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.fillna(LAST).to_numpy(np.int64), "right"))
 
-    grouped = docs.withColumn("gid", group_of(F.coalesce("doc_id", F.lit(LAST)))).select("gid", "doc_id", "text")
+    grouped = docs.withColumn("gid", group_of(F.coalesce("doc_id", F.lit(LAST)))).select("gid", "doc_id", "text", *carry)
     entries = grouped.groupBy("gid").applyInArrow(_send(shards), "shard long, gid long, entries binary")
     answers = entries.groupBy("shard").applyInArrow(_answer(most_segments), "gid long, shard long, codes binary")
     asked = grouped.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_ask(shards), "shard long, gid long, own boolean, load binary")
     ranges = asked.groupBy("shard").applyInArrow(_sort, "gid long, ranges binary")
-    return grouped.groupBy("gid").cogroup(ranges.groupBy("gid")).applyInArrow(_cut(keep_text), RESULT)
+    return grouped.groupBy("gid").cogroup(ranges.groupBy("gid")).applyInArrow(_cut(keep_text, carry), RESULT + "".join(f", {c} {t}" for c, t in docs.dtypes if c in carry))
 
 
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
