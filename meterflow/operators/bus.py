@@ -77,8 +77,8 @@ def decode(frames: DataFrame, signals: DataFrame, depth: int = 1) -> DataFrame:
     chain = s.withColumn("_mux", F.col("mux"))
     tests = []
     for k in range(depth):
-        m = by_name.select("message_id", *[F.col(c).alias(f"{c}{k}") for c in ("_n", "_st", "_si", "_le", "_up", "_lo", "_hi")])
-        chain = chain.join(m, (chain["message_id"] == m["message_id"]) & (chain["_mux"] == m[f"_n{k}"]), "left").drop(m["message_id"])
+        m = by_name.select(F.col("message_id").alias(f"_id{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("_n", "_st", "_si", "_le", "_up", "_lo", "_hi")])
+        chain = chain.join(m, (F.col("message_id") == F.col(f"_id{k}")) & (F.col("_mux") == F.col(f"_n{k}")), "left")
         low, high = (F.col("mux_min"), F.col("mux_max")) if k == 0 else (F.col(f"_lo{k - 1}"), F.col(f"_hi{k - 1}"))
         tests.append(F.col(f"_n{k}").isNull() | unsigned(F.col("payload"), F.col(f"_st{k}"), F.col(f"_si{k}"), F.col(f"_le{k}")).between(low, high))
         chain = chain.withColumn("_mux", F.col(f"_up{k}"))

@@ -1,4 +1,6 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""All queries of the library over the driver's tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import alignment, measures
+
+QUERIES = {**alignment.QUERIES, **measures.QUERIES}
+ORACLE_SQL = {**alignment.ORACLE_SQL, **measures.ORACLE_SQL}
