@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize
+from .shared import block_pairs, components, least_labels, materialize
 from .textbatch import STEP, mixed
 
 TABLES, SCALE, BLOCK = 10, 0.55, 1024
@@ -85,12 +85,13 @@ def _compare(threshold: float):
 
     def run(key, table):
         cell, i, j = (k.as_py() for k in key)
-        side, rep, count = (table.column(c).to_numpy() for c in ("block", "rep", "count"))
+        table = table.sort_by("rep")
+        side, rep, count = (table.column(c).to_numpy() for c in ("side", "rep", "count"))
         all_cells = _matrix_of_ints(table.column("cells"))
         unit = _unit(_matrix(table.column("embedding").combine_chunks()))
         x = np.flatnonzero(side == i)
         y = np.flatnonzero(side == j)
-        links, root = np.zeros(len(rep), np.int64), rep.copy()
+        links, pairs = np.zeros(len(rep), np.int64), [np.zeros((2, 0), np.int64)]
         for a in range(0, len(x), 256):
             part = x[a : a + 256]
             p, q = np.nonzero(unit[part] @ unit[y].T >= threshold)
@@ -107,8 +108,8 @@ def _compare(threshold: float):
                 np.add.at(links, u[own], count[v[own]])
                 if i != j:
                     np.add.at(links, v[own], count[u[own]])
-                np.minimum.at(root, u, rep[v])
-                np.minimum.at(root, v, rep[u])
+                pairs.append(np.stack((u[u < v], v[u < v])) if i == j else np.stack((u, v)))
+        root = rep[least_labels(len(rep), *np.concatenate(pairs, 1))]
         some = np.flatnonzero((links > 0) | (root < rep))
         return pa.table({"rep": rep[some], "links": links[some], "low": root[some]})
 
@@ -130,9 +131,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     same = materialize(same.withColumn("dim", F.size("embedding")), "vectors")
     hashed = materialize(same.select("rep", "embedding", "label", "dim").mapInArrow(_hash(tables, scale), "rep long, cells array<long>"), "cells")
     flat = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
-    full = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = flat.join(full, "cell").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    tasks = block_pairs(flat.join(full, "cell"), ["cell"], "rep", block)
     loaded = tasks.join(same.select("rep", "count", "embedding"), "rep").join(hashed, "rep")
     found = materialize(loaded.groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, low long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

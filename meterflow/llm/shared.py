@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,28 @@ def gapless_rank(df: DataFrame, keys: list[str], salt_of: list[str], out: str, r
     return joined.withColumn(out, F.col("_first") + F.col("_r")).drop("_salt", "_s", "_r", "_first", *[f"_k_{k}" for k in keys])
 
 
+def block_pairs(df: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """``df`` with (``side``, ``i``, ``j``): the members of each key are dealt to blocks of about ``block`` rows, and a row is there
+    once for each pair i <= j that its own block, ``side``, is part of. All pairs of members meet in some (key, i, j)."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = df.join(counts, keys).withColumn("side", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return paired.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")}).drop("_other", "_blocks")
+
+
+def least_labels(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n points the least point reachable by the pairs (p, q)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, p, label[q])
+        np.minimum.at(new, q, label[p])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _all(conditions):
     out = conditions[0]
     for c in conditions[1:]:
