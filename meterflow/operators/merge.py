@@ -39,7 +39,7 @@ def concatenate(samples: DataFrame, starts: DataFrame, sync: bool = True, direct
     per_file = starts.join(rank, "measurement_id", "left").select("measurement_id", "position", "start", "lo", "hi", "second").orderBy("position")
     shifts = _offsets(per_file.collect(), sync, direct, gap)
     kind = samples.schema["t"].dataType.simpleString()
-    table = samples.sparkSession.createDataFrame(shifts, f"measurement_id {samples.schema['measurement_id'].dataType.simpleString()}, _shift {kind}")
+    table = samples.sparkSession.createDataFrame([(m, float(x) if kind in ("double", "float") else x) for m, x in shifts], f"measurement_id {samples.schema['measurement_id'].dataType.simpleString()}, _shift {kind}")
     return samples.join(F.broadcast(table), "measurement_id").withColumn("t", F.col("t") + F.col("_shift")).drop("_shift")
 
 
