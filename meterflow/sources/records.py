@@ -69,7 +69,8 @@ def fields(rows: DataFrame, layout: list[Field], trailer: int | None = None, rec
 def by_record_id(rows: DataFrame, id_bytes: int, record: str = "record") -> DataFrame:
     """Interleaved records told apart by their leading little-endian id: ``record_id`` and the rest of the record."""
     whole = F.aggregate(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(id_bytes - 1)), lambda i: byte_at(F.col(record), i))), F.lit(0).cast("long"), lambda a, b: a * 256 + b)
-    return rows.withColumns({"record_id": whole, record: F.expr(f"substring({record}, {id_bytes + 1})")})
+    # two steps: within one, a name in a lambda would be taken for the new column
+    return rows.withColumn("record_id", whole).withColumn(record, F.expr(f"substring({record}, {id_bytes + 1})"))
 
 
 def variable_length(data: Column, offset: Column) -> Column:
