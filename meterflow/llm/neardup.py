@@ -4,12 +4,13 @@ A document's set is its distinct shingles of five blank-separated words (A-Z low
 registers holds a truncated minimum of exponentially distributed values, spaced as powers of ``SPACING``; bands of
 register values meet in a bucket. Equal sets are joined first and stand for one. Links are confirmed on full sets:
 
-1. every set is compared with one leader, the smallest set of most of its buckets;
-2. in buckets that still hold several components, members are compared with another leader, a few times over;
-3. where components still share a bucket, all their pairs are estimated jointly by likelihood, and those
-   that may reach the threshold are confirmed, so no link that a bucket shows is given up.
+1. every set is compared with one leader, the smallest set of most of its buckets; a confirmed leader is its label;
+2. where labels still share a bucket, registers of all members are compared, block by block; members of different
+   labels that agree in half of them form clusters. Within a cluster, again block by block, pairs of different
+   labels are estimated jointly by likelihood, and those that may reach the threshold are confirmed on full sets.
+   Blocks are arrays in tasks: what they give is a row per member, never a pair, and no link that a bucket shows is given up.
 
-Pairs below are never expanded inside a component. A pair at the threshold itself is missed by all bands with
+A pair at the threshold itself is missed by all bands with
 probability 2e-6. Components are contracted on Spark; each round is a table in the shared folder.
 
 Defined cases: a document with fewer than five words has the sequence of its words as its one shingle; one without
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize
+from .shared import block_pairs, components, least_labels, materialize
 from .textbatch import SPACE, STEP, TextBatch, large, mixed, pieces, shingles
 
 WORDS, BANDS, ROWS = 5, 24, 3
@@ -34,6 +35,8 @@ _seeds = np.random.RandomState(77).randint(1, 2**62, REGISTERS, dtype=np.int64).
 _salts = np.random.RandomState(78).randint(0, 2**62, BANDS, dtype=np.int64).astype(np.uint64)
 #: A pair whose jointly estimated similarity is below this is not confirmed: five standard errors below the threshold.
 LEAST_ESTIMATE = 0.5
+#: Members of a block, in a bucket (registers only) and in a cluster (with texts).
+BUCKET_BLOCK, CLUSTER_BLOCK = 512, 256
 
 
 def shingle_sets(batch: TextBatch) -> list[np.ndarray]:
@@ -134,16 +137,57 @@ def _confirm(per_cent: int):
     return run
 
 
-def _estimate(batches):
-    for whole in batches:
-        if len(whole):
-            a, b = (np.frombuffer(b"".join(whole.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
-            n_a, n_b = (whole.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
-            ok = joint_estimate(a, b, n_a, n_b) >= LEAST_ESTIMATE
-            yield pa.RecordBatch.from_arrays([whole.column("a"), whole.column("b")], names=["a", "b"]).filter(pa.array(ok))
+#: Registers of REGISTERS in which a pair must agree to be looked at: a pair at the threshold agrees in 54, five standard errors above.
+LEAST_EQUAL = REGISTERS // 2
+
+
+def _alike(key, table):
+    """Of a block pair of a bucket, (a, b): each member and the least one of its cluster, by registers that agree."""
+    i, j = key[1].as_py(), key[2].as_py()
+    table = table.sort_by("rep")
+    side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    x, y, pairs = np.flatnonzero(side == i), np.flatnonzero(side == j), [np.zeros((2, 0), np.int64)]
+    for part in np.array_split(x, -(-len(x) // 128)) if len(x) else ():
+        equal = sum((regs[part, k][:, None] == regs[y, k][None]).astype(np.uint8) for k in range(REGISTERS))
+        p, q = np.nonzero((equal >= LEAST_EQUAL) & (comp[part][:, None] != comp[y][None]))
+        pairs.append(np.stack((part[p], y[q])))
+    low = rep[least_labels(len(rep), *np.concatenate(pairs, 1))]
+    return pa.table({"a": rep[low < rep], "b": low[low < rep]})
+
+
+def _confirm_block(per_cent: int):
+    """Of a block pair of a cluster, (a, b): each member and the least one that it is linked with, through members of the block."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        table = table.sort_by("rep")
+        side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        texts = large(table.column("text"))
+        sets = [s for a, b in pieces(texts) for s in shingle_sets(TextBatch(texts.slice(a, b - a)))]
+        size = np.array([len(s) for s in sets])
+        x, y, pairs = np.flatnonzero(side == i), np.flatnonzero(side == j), [np.zeros((2, 0), np.int64)]
+        for m in x.tolist():
+            other = y[(comp[y] != comp[m]) & ((y > m) | (i != j))]
+            other = other[(regs[other] == regs[m]).sum(1) >= LEAST_EQUAL]
+            other = other[(100 * np.minimum(size[other], size[m]) >= per_cent * np.maximum(size[other], size[m]))]
+            if len(other):
+                n_m = np.full(len(other), float(size[m]))
+                other = other[joint_estimate(np.broadcast_to(regs[m], (len(other), REGISTERS)), regs[other], n_m, size[other].astype(float)) >= LEAST_ESTIMATE]
+            if len(other):
+                flat = np.concatenate([sets[k] for k in other.tolist()])
+                hit = sets[m][np.minimum(np.searchsorted(sets[m], flat), size[m] - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(np.append(0, size[other][:-1])))
+                linked = other[100 * both >= per_cent * (size[m] + size[other] - both)]
+                pairs.append(np.stack((np.full(len(linked), m), linked)))
+        low = rep[least_labels(len(rep), *np.concatenate(pairs, 1))]
+        return pa.table({"a": rep[low < rep], "b": low[low < rep]})
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 75, leader_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = materialize(docs.mapInArrow(_sketch, SKETCH), "sketches")
@@ -158,35 +202,20 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, leader_rounds: int = 3)
     texts = docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(_true_to_set, "doc_id long, text string")
     spark = docs.sparkSession
     texts = materialize(texts, "near")
-    empty = spark.createDataFrame([], "a long, b long")
-    tested, confirmed, round_no = empty, empty, 0
-    comps = spark.createDataFrame([], "node long, component long")
-    while True:
-        good = materialize(_confirmed(edges, texts, per_cent), "links")
-        confirmed, tested = confirmed.union(good), tested.union(edges)
-        if good.limit(1).count():
-            comps = materialize(components(confirmed, "near"), "components")
-        labelled = links.select("h", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
-        several = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(round_no))).alias("lead")).where("low < high")
-        round_no += 1
-        if round_no > leader_rounds:
-            break
-        nxt = labelled.join(several, "h").where("comp <> lead.comp").select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
-        edges = materialize(nxt.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        if not edges.limit(1).count():
-            break
-    open_rows = materialize(labelled.join(several.select("h"), "h"), "open")
-    x, y = (open_rows.select("h", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    pairs = x.join(y, "h").where("ca <> cb AND a > b").select("a", "b").distinct()
-    pairs = pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    known = sets.select("rep", "n", "regs")
-    for c in "ab":
-        pairs = pairs.join(known.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")), c)
-    edges = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "pairs")
-    if edges.limit(1).count():
-        good = materialize(_confirmed(edges, texts, per_cent), "links")
-        if good.limit(1).count():
-            comps = materialize(components(confirmed.union(good), "near"), "components")
+    confirmed = materialize(_confirmed(edges, texts, per_cent), "links")
+    # a first label: the confirmed leader. Whatever it doesn't join is compared below, so it needn't be a component yet
+    first_label = confirmed.withColumnsRenamed({"a": "rep", "b": "_label"})
+    labelled = links.select("h", "rep").join(first_label, "rep", "left").select("h", "rep", F.coalesce("_label", "rep").alias("comp"))
+    several = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    known = sets.select("rep", "regs")
+    open_rows = labelled.join(several.select("h"), "h").join(known, "rep")
+    alike = materialize(block_pairs(open_rows, ["h"], "rep", BUCKET_BLOCK).groupBy("h", "i", "j").applyInArrow(_alike, "a long, b long").distinct(), "alike")
+    if alike.limit(1).count():
+        clusters = components(alike, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        members = clusters.join(known, "rep").join(first_label, "rep", "left").withColumn("comp", F.coalesce("_label", "rep")).drop("_label")
+        loaded = block_pairs(members, ["cluster"], "rep", CLUSTER_BLOCK).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        confirmed = confirmed.union(materialize(loaded.groupBy("cluster", "i", "j").applyInArrow(_confirm_block(per_cent), "a long, b long"), "links"))
+    comps = components(confirmed, "near")
     of_rep = sets.select("d1", "d2", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "d1", "d2").join(of_rep, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -95,7 +95,11 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     shared folder, so the plan stays short and a lost executor costs one round. Nodes without edges do not appear."""
     spark = edges.sparkSession
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    seen = None
+
+    def state_of(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    seen = state_of(now)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -104,7 +108,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         nxt = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(nxt)
         remove_tables(now)
         now = nxt
         if seen == state:
