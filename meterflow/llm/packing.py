@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,54 +51,72 @@ class Ids:
         chunks, at, n, flat, met = list(self.known), self.at, self.n, self.flat, self.met[: len(self.known)]
         self.known, self.used = {}, 0
         self.at, self.n, self.flat = at.copy(), n.copy(), flat.copy()
-        for i in np.sort(np.argsort(met, kind="stable")[len(chunks) // 2 :]).tolist():
-            self._add(chunks[i], flat[at[i] : at[i] + n[i]])
+        keep = np.sort(np.argsort(met, kind="stable")[len(chunks) // 2 :])
+        size = n[keep].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(at[keep] - (ends - size), size) + np.arange(int(size.sum()))]
+        self._add_all([chunks[i] for i in keep.tolist()], ids, ends)
         self.met[:] = 0
 
-    def _add(self, chunk: bytes, ids) -> None:
-        i = len(self.known)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-        if i >= len(self.at):
+    def _add_all(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Entries whose ids lie one after the other in ``ids``, each up to its end."""
+        i, m = len(self.known), len(chunks)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while i + m > len(self.at):
             self.at, self.n, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.n, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[i], self.n[i] = self.used, len(ids)
+        starts = np.append(0, ends[:-1])
+        self.at[i : i + m], self.n[i : i + m] = self.used + starts, ends - starts
         self.used += len(ids)
-        self.known[chunk] = i
+        self.known.update(zip(chunks, range(i, i + m)))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Letters-only chunks go to the tokenizer in one text; a full stop or comma after letters or digits stands alone for it."""
-        stems = {}
-        for c in chunks:
-            if len(c) > 1 and c[-1] in b",." and c[-2:-1].isalnum():
-                stems[c] = c[:-1]
-        new = dict.fromkeys([c for c in [*chunks, *stems.values(), *({b",", b"."} if stems else ())] if c not in self.known and c not in stems])
-        words = [c for c in new if c.decode("utf-8", "replace").isalpha()]
+        """Plain words go to the tokenizer's model. Other chunks of letters go to the tokenizer in one text, of which each gives one word; others one by one. A stop or
+        comma that ends a chunk after a letter or digit is a word of its own to the tokenizer."""
+        ended = [c for c in chunks if len(c) > 1 and c[-1] in b".," and c[-2:-1].isalnum()]
+        if ended:
+            stems = {c[:-1] for c in ended} | {b".", b","}
+            skip = set(ended)
+            chunks = sorted({c for c in chunks if c not in skip} | {c for c in stems if c not in self.known})
+        plain = [c for c in chunks if c.isalpha() and c.islower()]  # ASCII letters: no rule of the normalizer applies
+        if plain:
+            each = [[t.id for t in self.tokenizer.model.tokenize(c.decode())] for c in plain]
+            self._add_all(plain, np.array(list(chain.from_iterable(each)), np.uint32), np.cumsum([len(x) for x in each]))
+        chunks = [c for c in chunks if not (c.isalpha() and c.islower())]
+        words = [c for c in chunks if c.decode("utf-8", "replace").isalpha()]
         if words:
             ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
-                for c, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist()):
-                    self._add(c, ids[a:b])
-        rest = [c for c in new if c not in self.known]
+                self._add_all(words, ids, ends)
+        rest = [c for c in chunks if c not in self.known]
         for c, e in zip(rest, self.tokenizer.encode_batch([c.decode() for c in rest], add_special_tokens=False) if rest else ()):
-            self._add(c, e.ids)
-        for c, stem in stems.items():
-            if c not in self.known:
-                self._add(c, np.concatenate([self.flat[self.at[i] : self.at[i] + self.n[i]] for i in (self.known[stem], self.known[c[-1:]])]))
+            self._add_all([c], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        if ended:
+            stem = np.array([self.known[c[:-1]] for c in ended])
+            stop = np.array([self.known[c[-1:]] for c in ended])
+            n, m = self.n[stem].astype(np.int64), self.n[stop].astype(np.int64)
+            order = np.stack((stem, stop), 1).reshape(-1)
+            size = np.stack((n, m), 1).reshape(-1)
+            before = np.cumsum(size) - size
+            ids = self.flat[np.repeat(self.at[order] - before, size) + np.arange(int(size.sum()))]
+            self._add_all(ended, ids, np.cumsum(n + m))
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; what isn't known of them is learned at once."""
+        if len(self.known) > MOST_CACHED:
+            self._shrink()
         chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = {c for some in chunks for c in some if c not in self.known}
+        found = [np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some)) for some in chunks]
+        gaps = [np.flatnonzero(index < 0).tolist() for index in found]
+        missing = {some[i] for some, gap in zip(chunks, gaps) for i in gap}
         if missing:
-            if len(self.known) + len(missing) > MOST_CACHED and self.known:
-                self._shrink()
-                missing = {c for some in chunks for c in some if c not in self.known}
             self._learn(sorted(missing))
         out = []
-        for some in chunks:
-            index = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+        for some, index, gap in zip(chunks, found, gaps):
+            if gap:
+                index[gap] = [self.known[some[i]] for i in gap]
             self.met[index] += 1
             n = self.n[index].astype(np.int64)
             before = np.cumsum(n) - n
@@ -105,11 +124,21 @@ class Ids:
         return out
 
 
+_ids: dict[str, Ids] = {}
+
+
+def _worker_ids(path: str) -> Ids:
+    """A worker keeps what it has learned from one task to the next."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
+
+
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document: whole windows from the front, then the remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(path)
+        ids_of = _worker_ids(path)
         for whole in batches:
             doc_ids, texts = whole.column("doc_id").to_pylist(), large(whole.column("text"))
             out: list[list] = [[] for _ in range(5)]
