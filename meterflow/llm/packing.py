@@ -13,6 +13,8 @@ that spells a special token is tokenised as the tokenizer itself does.
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -29,7 +31,9 @@ from .textbatch import TextBatch, large, pieces
 WINDOW, END_ID = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Entries of a worker's cache of token ids; when it is full, the half that was met more often stays.
-MOST_CACHED = 1_000_000
+MOST_CACHED = 250_000
+#: Chunks that go to the tokenizer at once, whose encodings are much larger than their ids.
+MOST_ENCODED = 2_000
 
 
 class Ids:
@@ -85,14 +89,15 @@ class Ids:
             self._add_all(plain, np.array(list(chain.from_iterable(each)), np.uint32), np.cumsum([len(x) for x in each]))
         chunks = [c for c in chunks if not (c.isalpha() and c.islower())]
         words = [c for c in chunks if c.decode("utf-8", "replace").isalpha()]
-        if words:
-            ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(words) and ends[-1] == len(ids):
-                self._add_all(words, ids, ends)
+        for some in (words[i : i + MOST_ENCODED] for i in range(0, len(words), MOST_ENCODED)):
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            word_ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(word_ends) == len(some) and word_ends[-1] == len(ids):
+                self._add_all(some, ids, word_ends)
         rest = [c for c in chunks if c not in self.known]
-        for c, e in zip(rest, self.tokenizer.encode_batch([c.decode() for c in rest], add_special_tokens=False) if rest else ()):
-            self._add_all([c], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        for some in (rest[i : i + MOST_ENCODED] for i in range(0, len(rest), MOST_ENCODED)):
+            for c, e in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)):
+                self._add_all([c], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
         if ended:
             stem = np.array([self.known[c[:-1]] for c in ended])
             stop = np.array([self.known[c[-1:]] for c in ended])
@@ -124,21 +129,25 @@ class Ids:
         return out
 
 
-_ids: dict[str, Ids] = {}
+_ids: dict[tuple[str, str], Ids] = {}
 
 
-def _worker_ids(path: str) -> Ids:
-    """A worker keeps what it has learned from one task to the next."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+def _worker_ids(path: str, call: str) -> Ids:
+    """A worker keeps what it has learned from one task of a call to the next, and nothing from other calls."""
+    if (path, call) not in _ids:
+        _ids.clear()
+        pa.default_memory_pool().release_unused()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _ids[path, call] = Ids(path)
+    return _ids[path, call]
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document: whole windows from the front, then the remainder."""
+    call = uuid.uuid4().hex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _worker_ids(path)
+        ids_of = _worker_ids(path, call)
         for whole in batches:
             doc_ids, texts = whole.column("doc_id").to_pylist(), large(whole.column("text"))
             out: list[list] = [[] for _ in range(5)]
