@@ -12,7 +12,8 @@ A suffix array of everything in one place can't be spread, so strings are dealt
 
 A hash that too many different segments share would gather them in one shard; those segments are sent as single
 50-byte strings, dealt by their own hashes. Bytes are judged on the input. Hashes only choose what is compared, but
-for "seen", which rests on 31 + 32 bits of two hashes and the shard's number.
+for "seen", which rests on all 64 bits of the segment's hash (and 31 of the least hash and the shard's number, which
+segments around one frequent string share).
 
 Defined cases: a null text is empty; texts below 50 bytes lose nothing; rows of one doc_id don't
 remove each other's bytes; rows with a null doc_id count as the largest; repeated rows get equal results; an empty table gives no rows.
@@ -51,21 +52,20 @@ class Segments:
         found = [self._of(a, b) for a, b in pieces(self.texts)]
         row, start, size, least, content = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
         shard = ((least >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-        code = (least & np.uint64(0x7FFFFFFF)) << np.uint64(32) | content >> np.uint64(32)
-        order = np.lexsort((start, row, code, shard))
-        self.row, self.start, self.size, self.shard, self.code = (x[order] for x in (row, start, size, shard, code))
-        #: Entries: runs of equal shard and code; the first occurrence is in the smallest document.
-        new = np.ones(len(order), bool)
-        new[1:] = (self.shard[1:] != self.shard[:-1]) | (self.code[1:] != self.code[:-1])
+        lead = (least & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+        order = np.lexsort((start, row, content, lead, shard))
+        self.row, self.start, self.size, self.shard, self.lead, self.content = (x[order] for x in (row, start, size, shard, lead, content))
+        #: Entries: runs of equal shard, lead and content; the first occurrence is in the smallest document.
+        start_of = np.ones(len(order), bool)
+        start_of[1:] = (self.shard[1:] != self.shard[:-1]) | (self.lead[1:] != self.lead[:-1])
+        new = start_of.copy()
+        new[1:] |= self.content[1:] != self.content[:-1]
         self.entry = np.flatnonzero(new)
         self.of = np.cumsum(new) - 1
         doc = self.ids[self.row]
         self.owner = doc[self.entry]
         self.is_owner = doc == self.owner[self.of] if len(order) else new
         # whether documents of the group share a least hash
-        lead = self.code >> np.uint64(32)
-        start_of = np.ones(len(order), bool)
-        start_of[1:] = (self.shard[1:] != self.shard[:-1]) | (lead[1:] != lead[:-1])
         at = np.flatnonzero(start_of)
         several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
         self.several = several[(np.cumsum(start_of) - 1)[self.entry]] if len(at) else several
@@ -135,7 +135,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 def _send(shards: int):
     def run(key, table):
         seg = Segments(table, shards)
-        rows = [(s, key[0].as_py(), _pack((seg.code[seg.entry[a:b]] << np.uint64(1) | seg.several[a:b].astype(np.uint64)).astype(np.uint64))) for s, a, b in seg.by_shard()]
+        rows = [(s, key[0].as_py(), _pack(seg.lead[seg.entry[a:b]] << np.uint32(1) | seg.several[a:b].astype(np.uint32), seg.content[seg.entry[a:b]])) for s, a, b in seg.by_shard()]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "gid": pa.array([r[1] for r in rows], pa.int64()), "entries": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -146,21 +146,21 @@ def _answer(most_segments: int):
 
     def run(key, table):
         rows = sorted(zip(table.column("gid").to_pylist(), table.column("entries").to_pylist()))
-        each = [_unpack(e, "<u8")[0] for _, e in rows]
-        sent = np.concatenate(each)
+        each, contents = zip(*(_unpack(e, "<u4", "<u8") for _, e in rows))
+        sent, content = np.concatenate(each), np.concatenate(contents)
         gid = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-        order = np.lexsort((gid, sent >> np.uint64(1)))
-        code, several, g = sent[order] >> np.uint64(1), (sent[order] & np.uint64(1)).astype(bool), gid[order]
-        again = np.zeros(len(code), bool)
-        again[1:] = code[1:] == code[:-1]
-        new = np.ones(len(code), bool)
-        new[1:] = code[1:] >> np.uint64(32) != code[:-1] >> np.uint64(32)
+        order = np.lexsort((gid, content, sent >> np.uint32(1)))
+        lead, content, several, g = sent[order] >> np.uint32(1), content[order], (sent[order] & np.uint32(1)).astype(bool), gid[order]
+        new = np.ones(len(lead), bool)
+        new[1:] = lead[1:] != lead[:-1]
+        again = ~new
+        again[1:] &= content[1:] == content[:-1]
         at = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         shared = np.logical_or.reduceat(several, at) | (np.minimum.reduceat(g, at) < np.maximum.reduceat(g, at))
         different = np.add.reduceat((~again).astype(np.int64), at)
         kind = np.where(different >= 2, np.where(different > most_segments, 3, 2), 0)
-        answer = np.empty(len(code), np.uint8)
+        answer = np.empty(len(lead), np.uint8)
         answer[order] = np.where(shared[group], np.where(again, 1, kind[group]), 0)
         cut = np.cumsum([0] + [len(e) for e in each])
         packed = [zlib.compress(answer[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
@@ -191,7 +191,7 @@ def _ask(shards: int):
             data = seg.bytes(first)
             own = np.flatnonzero(seg.is_owner[first : ends[i]]) + first
             if answer[i] == 2:
-                where.setdefault(int(seg.shard[first]), []).append((int(seg.code[first]) >> 32, int(seg.owner[i]), data, seg.row[own], seg.start[own]))
+                where.setdefault(int(seg.shard[first]), []).append((int(seg.lead[first]), int(seg.owner[i]), data, seg.row[own], seg.start[own]))
             else:
                 for j in range(len(data) - WIDTH + 1):
                     part = data[j : j + WIDTH]
