@@ -203,11 +203,14 @@ def telling_words(sample: DataFrame, most_words: int) -> list[str]:
     one, other = total["one"] or 0, (total["all"] or 0) - (total["one"] or 0)
     plain = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z\\x{80}-\\x{10FFFF}]+", " "), " ")
     once = F.filter(F.array_distinct(plain), lambda w: F.length(w).between(3, 30))
-    stems = F.flatten(F.transform(once, lambda w: F.transform(F.sequence(F.lit(LEAST_STEM), F.greatest(F.lit(LEAST_STEM), F.least(F.lit(MOST_STEM), F.length(w)))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("*")))))
-    words = sample.select("label", F.explode(F.array_distinct(F.concat(once, stems))).alias("word"))
-    words = words.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.count(F.lit(1)).alias("n"))
+    stems = F.flatten(F.transform("once", lambda w: F.transform(F.sequence(F.lit(LEAST_STEM), F.greatest(F.lit(LEAST_STEM), F.least(F.lit(MOST_STEM), F.length(w)))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("*")))))
+    # Copies, rows with the same set of words, count singly for the odds, but once for a word's rank.
+    sets = sample.select("label", F.array_sort(once).alias("once")).groupBy("label", "once").agg(F.count(F.lit(1)).alias("copies"))
+    words = sets.select("label", "copies", F.explode(F.array_distinct(F.concat("once", stems))).alias("word"))
+    toxic = F.col("label") == 1
+    words = words.groupBy("word").agg(F.sum(F.when(toxic, F.col("copies")).otherwise(0)).alias("a"), F.sum("copies").alias("n"), F.sum(F.when(toxic, 1).otherwise(0)).alias("sets"))
     odds = F.log((F.col("a") + 0.5) / (one + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (other + 1.0))
-    found = words.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.sqrt("a")).desc(), "word").limit(most_words)
+    found = words.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.sqrt("sets")).desc(), "word").limit(most_words)
     return [r["word"] for r in found.select("word").collect()]
 
 

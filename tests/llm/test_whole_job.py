@@ -2,7 +2,7 @@
 
 import pytest
 
-from meterflow.llm import repeats
+from meterflow.llm import repeats, toxicity
 
 #: Different strings of 50 bytes around one least string, whose hashes share their upper 32 bits.
 ALIKE = [
@@ -20,3 +20,11 @@ def test_segments_of_like_hashes_stay(spark, apart):
     for most in (1, 1 << 20):
         got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=most).select("doc_id", "n_removed").collect()
         assert {r[0]: r[1] for r in got if r[1]} == {99_999: 50}
+
+
+def test_copies_take_no_places(spark):
+    """An insult in few documents is learned beside a toxic document that was copied often."""
+    names = ["".join("bcdfghjklmnpqrstvwxz"[n // 20**k % 20] for k in range(3)) for n in range(2000)]
+    rare = " ".join(w + "ota" for w in names[:100])
+    rows = [(1, rare)] * 200 + [(1, f"{names[i]} {names[i + 20]} idiot") for i in range(200, 209)] + [(0, " ".join(names[i : i + 30])) for i in range(300, 1500)]
+    assert "idiot" in toxicity.telling_words(spark.createDataFrame(rows, "label int, text string"), 40)
