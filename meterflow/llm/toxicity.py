@@ -2,8 +2,8 @@
 
 Characters of the whole corpus are counted as trigrams (counts, bounded by the alphabet, are all that leaves the
 executors). Words that tell toxic from other documents are learned from labelled rows outside the held-out fold.
-Tokens that look disguised — leet signs among letters, letters repeated, letters spaced out — become lattices
-of what each sign may stand for; a Viterbi search finds the likeliest reading under the character model, to which the learned words
+Tokens with a letter and with anything that may disguise — a sign at any place, accents, a doubled letter — and letters
+spaced out become lattices of what each sign may stand for; tokens without a letter are numbers or punctuation; a Viterbi search finds the likeliest reading under the character model, to which the learned words
 were added. A document's score is a logistic regression on which learned words its restored text holds.
 
 Only ``MOST_ROWS`` labelled rows (of least hash of doc_id) are learned from; everything else covers all rows and whole
@@ -36,13 +36,15 @@ CODE[0x61:0x7B] = CODE[0x41:0x5B] = np.arange(1, N)
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "á": "a", "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "í": "i", "ì": "i", "ó": "o", "ò": "o", "ö": "o", "ü": "u", "ú": "u", "ñ": "n", "ç": "c"}
 #: Signs that may stand between letters without a meaning.
 BETWEEN = set(".-_*~'`,^/\\:;|+=​­")
-SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST = 0.7, 0.5, 0.3, 9.0
+SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST, EDGE_COST = 0.7, 0.5, 0.3, 9.0, 2.0
+#: Signs that at a token's edge may be punctuation.
+EDGE = {c for c in SIGNS if not c.isalnum()}
 WORD = np.zeros(256, bool)
 WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
 _letter = np.zeros(256, bool)
 _letter[0x41:0x5B] = _letter[0x61:0x7B] = True
 _sign = np.zeros(256, bool)
-_sign[[ord(c) for c in "0123456789@$!|+(<.-_*~'`^/\\:"]] = True
+_sign[[ord(c) for c in {*SIGNS, *BETWEEN} if c < "\x80"]] = True
 MOST_TOKEN = 40
 
 
@@ -62,12 +64,25 @@ class Model:
         self.words, self.weights, self.base = words, weights, base
         self.index = {w: i for i, w in enumerate(words)}
         self.memory: dict[str, list[str]] = {}
+        self.hits: dict[bytes, tuple[int, ...]] = {}
 
     def features(self, word: str) -> list[int]:
         """Learned words that a word is or begins with."""
         some = [word, *(word[:n] + "*" for n in range(LEAST_STEM, min(MOST_STEM, len(word)) + 1))]
         return [self.index[w] for w in some if w in self.index]
 
+    def hidden(self, raw: bytes) -> tuple[int, ...]:
+        """Learned words in the likeliest reading of a token that holds a sign or a doubled letter, and a letter."""
+        found = self.hits.get(raw)
+        if found is None:
+            token, found = raw.decode("utf-8", "replace").lower(), ()
+            if any(c.isalpha() for c in token) and any(c in SIGNS or c in BETWEEN or c == d for c, d in zip(token, token[1:] + " ")):
+                found = tuple({i for w in self._viterbi(token).split() for i in self.features(w)})
+            if len(self.hits) > 200_000:
+                self.hits.clear()
+            self.hits[raw] = found
+        return found
+
     def restore(self, token: str) -> list[str]:
         """Words of the likeliest reading of a token."""
         found = self.memory.get(token)
@@ -79,8 +94,8 @@ class Model:
 
     def _viterbi(self, token: str) -> str:
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        last = ""
-        for ch in token[: MOST_TOKEN * 4]:
+        last, core = "", [i for i, ch in enumerate(token) if ch.isalnum()]
+        for i, ch in enumerate(token[: MOST_TOKEN * 4]):
             reads: list[tuple[str, float]] = []
             if ch in SIGNS:
                 reads += [(c, SIGN_COST) for c in SIGNS[ch]]
@@ -88,6 +103,8 @@ class Model:
                 reads.append((ch, 0.0))
             if ch in BETWEEN or ch == last:
                 reads.append(("", REPEAT_COST if ch == last else DROP_COST))
+            elif ch in EDGE and not (core and core[0] < i < core[-1]):
+                reads += [("", EDGE_COST), (" ", EDGE_COST)]
             elif ch in SIGNS:
                 reads += [("", PLAIN_DROP_COST), (" ", PLAIN_DROP_COST)]
             elif ch not in LETTERS:
@@ -109,30 +126,26 @@ class Model:
         return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
 
 
-def _suspects(batch: TextBatch) -> list[tuple[int, str]]:
-    """(text, token) of tokens that look disguised; letters that stand alone in a row are one token."""
+def _suspects(batch: TextBatch) -> list[tuple[int, bytes]]:
+    """(text, token) of tokens that may be disguised; letters that stand alone in a row are one token."""
     batch.words(~SPACE)
     ws, we, doc = batch.ws, batch.we, batch.doc
     if not len(ws):
         return []
     buf = LOWER[batch.buf]
-    letter, sign = _letter[buf] | (buf >= 0x80), _sign[buf]
-    count = lambda mask: np.add.reduceat(mask, ws) if len(ws) else mask  # noqa: E731  blanks between words are neither
-    core_after = np.append(letter[1:], False)
-    inner = sign & core_after & ~SPACE[batch.buf]
-    inner[ws[sign[ws] & np.isin(buf[ws], np.frombuffer(b".-_*~'`^/\\:(<", np.uint8))]] = False
-    third = np.zeros(len(buf), bool)
-    third[2:] = (buf[2:] == buf[1:-1]) & (buf[2:] == buf[:-2]) & _letter[buf[2:]]
-    letters, inners = count(letter.astype(np.int64)), count((inner | third).astype(np.int64))
-    at = np.flatnonzero((letters >= 2) & (inners > 0) & (we - ws <= 4 * MOST_TOKEN))
-    out = [(int(doc[i]), buf[ws[i] : we[i]].tobytes().decode("utf-8", "replace")) for i in at.tolist()]
+    raw = buf.tobytes()
+    letter, sign = _letter[buf], _sign[buf]
+    marked = sign | (buf >= 0x80)
+    marked[1:] |= (buf[1:] == buf[:-1]) & letter[1:]
+    at = np.flatnonzero(np.logical_or.reduceat(letter | (buf >= 0x80), ws) & np.logical_or.reduceat(marked, ws) & (we - ws <= 4 * MOST_TOKEN))
+    out = [(d, raw[i:j]) for d, i, j in zip(doc[at].tolist(), ws[at].tolist(), we[at].tolist())]
     single = (we - ws == 1) & (_letter[buf[ws]] | sign[ws])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (single).astype(np.int8), [0]))))
     for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
         for d, run in itertools.groupby(range(a, b), key=lambda i: doc[i]):
             run = list(run)
             if 3 <= len(run) <= 4 * MOST_TOKEN:
-                out.append((int(d), "".join(chr(buf[ws[i]]) for i in run)))
+                out.append((int(d), b"".join(raw[ws[i] : we[i]] for i in run)))
     return out
 
 
@@ -170,7 +183,7 @@ class Lookup:
             docs.append(batch.doc[some[at[ok]]])
             words.append(ids[where[ok]])
         batch.we = whole
-        more = [(d, i) for d, token in _suspects(batch) for w in self.model.restore(token) for i in self.model.features(w)]
+        more = [(d, i) for d, token in _suspects(batch) for i in self.model.hidden(token)]
         if more:
             docs.append(np.array([d for d, _ in more]))
             words.append(np.array([i for _, i in more]))
@@ -272,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
 def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity_score (0 to 1); other columns are kept."""
     model.memory.clear()
+    model.hits.clear()
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "toxicity_score"]
 

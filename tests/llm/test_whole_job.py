@@ -1,5 +1,6 @@
 """Cases in which operators once did less than the whole job."""
 
+import numpy as np
 import pytest
 
 from meterflow.llm import repeats, toxicity
@@ -28,3 +29,18 @@ def test_copies_take_no_places(spark):
     rare = " ".join(w + "ota" for w in names[:100])
     rows = [(1, rare)] * 200 + [(1, f"{names[i]} {names[i + 20]} idiot") for i in range(200, 209)] + [(0, " ".join(names[i : i + 30])) for i in range(300, 1500)]
     assert "idiot" in toxicity.telling_words(spark.createDataFrame(rows, "label int, text string"), 40)
+
+
+def insults(spark, texts):
+    """What each text's score says of it: the set of learned words, whose weights are powers of two."""
+    words = ["idiot", "stupid", "moron", "loser"]
+    model = toxicity.Model(np.ones((toxicity.N,) * 3), words, 0.5 * 2.0 ** np.arange(4), -4.0)
+    got = toxicity.with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    sums = {r["doc_id"]: round(2 * (np.log(r["toxicity_score"] / (1 - r["toxicity_score"])) + 4)) for r in got}
+    return [{w for k, w in enumerate(words) if sums[i] >> k & 1} for i in range(len(texts))]
+
+
+def test_disguises_at_any_place(spark):
+    some = {"idiot": ["ídíót", "ÍDIÓT", "id\u200biot", "idi\u00adot", "1diot", "id1ot", "idi07", "idio7", "1d107", "iiddiioott", "iidiot", "idiott", "*idi*ot*"], "loser": ["£oser", "l0ser", "lose\u200br", "looser", "lo-ser", "10s3r."], "moron": ["morroon", "möron", "mor0n", "m.oron,"]}
+    texts = [f"what {x} there" for v in some.values() for x in v] + ["a book of 1984, i.e. a sheet", "455 10 07"]
+    assert insults(spark, texts) == [{k} for k, v in some.items() for _ in v] + [set(), set()]
