@@ -36,7 +36,7 @@ CODE[0x61:0x7B] = CODE[0x41:0x5B] = np.arange(1, N)
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "á": "a", "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "í": "i", "ì": "i", "ó": "o", "ò": "o", "ö": "o", "ü": "u", "ú": "u", "ñ": "n", "ç": "c"}
 #: Signs that may stand between letters without a meaning.
 BETWEEN = set(".-_*~'`,^/\\:;|+=​­")
-SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST, EDGE_COST = 0.7, 0.5, 0.3, 9.0, 2.0
+SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST, EDGE_COST, BREAK_COST = 0.7, 0.5, 0.3, 9.0, 2.0, 1.5
 #: Signs that at a token's edge may be punctuation.
 EDGE = {c for c in SIGNS if not c.isalnum()}
 WORD = np.zeros(256, bool)
@@ -45,7 +45,8 @@ _letter = np.zeros(256, bool)
 _letter[0x41:0x5B] = _letter[0x61:0x7B] = True
 _sign = np.zeros(256, bool)
 _sign[[ord(c) for c in {*SIGNS, *BETWEEN} if c < "\x80"]] = True
-MOST_TOKEN = 40
+#: Longer tokens are decoded each time, so that memory is bounded.
+MOST_KEPT = 160
 
 
 class Model:
@@ -76,11 +77,12 @@ class Model:
         found = self.hits.get(raw)
         if found is None:
             token, found = raw.decode("utf-8", "replace").lower(), ()
-            if any(c.isalpha() for c in token) and any(c in SIGNS or c in BETWEEN or c == d for c, d in zip(token, token[1:] + " ")):
+            if any(c.isalpha() for c in token):
                 found = tuple({i for w in self._viterbi(token).split() for i in self.features(w)})
             if len(self.hits) > 200_000:
                 self.hits.clear()
-            self.hits[raw] = found
+            if len(raw) <= MOST_KEPT:
+                self.hits[raw] = found
         return found
 
     def restore(self, token: str) -> list[str]:
@@ -93,9 +95,10 @@ class Model:
         return found
 
     def _viterbi(self, token: str) -> str:
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a state holds its cost and a chain of letters back to the beginning, so that long tokens cost in proportion
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         last, core = "", [i for i, ch in enumerate(token) if ch.isalnum()]
-        for i, ch in enumerate(token[: MOST_TOKEN * 4]):
+        for i, ch in enumerate(token):
             reads: list[tuple[str, float]] = []
             if ch in SIGNS:
                 reads += [(c, SIGN_COST) for c in SIGNS[ch]]
@@ -103,6 +106,8 @@ class Model:
                 reads.append((ch, 0.0))
             if ch in BETWEEN or ch == last:
                 reads.append(("", REPEAT_COST if ch == last else DROP_COST))
+                if ch in BETWEEN:
+                    reads.append((" ", BREAK_COST))
             elif ch in EDGE and not (core and core[0] < i < core[-1]):
                 reads += [("", EDGE_COST), (" ", EDGE_COST)]
             elif ch in SIGNS:
@@ -112,18 +117,22 @@ class Model:
             if not reads:
                 reads = [(" ", 1.0)]
             last = ch
-            now: dict[tuple[int, int], tuple[float, str]] = {}
+            now: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in states.items():
                 for c, extra in reads:
                     if c == "":
                         key, new, out = (a, b), cost + extra, text
                     else:
                         k = LETTERS.find(c) + 1
-                        key, new, out = (b, k), cost + extra + self.cost[a, b, k], text + c
+                        key, new, out = (b, k), cost + extra + self.cost[a, b, k], (text, c)
                     if key not in now or new < now[key][0]:
                         now[key] = (new, out)
             states = now
-        return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
+        text, out = min(((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items()), key=lambda x: x[0])[1], []
+        while text:
+            text, c = text
+            out.append(c)
+        return "".join(reversed(out))
 
 
 def _suspects(batch: TextBatch) -> list[tuple[int, bytes]]:
@@ -137,14 +146,14 @@ def _suspects(batch: TextBatch) -> list[tuple[int, bytes]]:
     letter, sign = _letter[buf], _sign[buf]
     marked = sign | (buf >= 0x80)
     marked[1:] |= (buf[1:] == buf[:-1]) & letter[1:]
-    at = np.flatnonzero(np.logical_or.reduceat(letter | (buf >= 0x80), ws) & np.logical_or.reduceat(marked, ws) & (we - ws <= 4 * MOST_TOKEN))
+    at = np.flatnonzero(np.logical_or.reduceat(letter | (buf >= 0x80), ws) & np.logical_or.reduceat(marked, ws))
     out = [(d, raw[i:j]) for d, i, j in zip(doc[at].tolist(), ws[at].tolist(), we[at].tolist())]
     single = (we - ws == 1) & (_letter[buf[ws]] | sign[ws])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (single).astype(np.int8), [0]))))
     for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
         for d, run in itertools.groupby(range(a, b), key=lambda i: doc[i]):
             run = list(run)
-            if 3 <= len(run) <= 4 * MOST_TOKEN:
+            if len(run) >= 3:
                 out.append((int(d), b"".join(raw[ws[i] : we[i]] for i in run)))
     return out
 

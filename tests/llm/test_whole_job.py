@@ -44,3 +44,9 @@ def test_disguises_at_any_place(spark):
     some = {"idiot": ["ídíót", "ÍDIÓT", "id\u200biot", "idi\u00adot", "1diot", "id1ot", "idi07", "idio7", "1d107", "iiddiioott", "iidiot", "idiott", "*idi*ot*"], "loser": ["£oser", "l0ser", "lose\u200br", "looser", "lo-ser", "10s3r."], "moron": ["morroon", "möron", "mor0n", "m.oron,"]}
     texts = [f"what {x} there" for v in some.values() for x in v] + ["a book of 1984, i.e. a sheet", "455 10 07"]
     assert insults(spark, texts) == [{k} for k, v in some.items() for _ in v] + [set(), set()]
+
+
+def test_long_tokens_and_runs(spark):
+    texts = ["1d10t_st-u-p1d_m0r0n", "l0$er_" * 100 + "1d10t", "m0r0n." * 60 + "l0$er", "b c d " * 100 + "an i d i o t"]
+    got = insults(spark, texts)
+    assert got == [{"idiot", "stupid", "moron"}, {"loser", "idiot"}, {"moron", "loser"}, {"idiot"}]
