@@ -36,7 +36,7 @@ CODE[0x61:0x7B] = CODE[0x41:0x5B] = np.arange(1, N)
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "á": "a", "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "í": "i", "ì": "i", "ó": "o", "ò": "o", "ö": "o", "ü": "u", "ú": "u", "ñ": "n", "ç": "c"}
 #: Signs that may stand between letters without a meaning.
 BETWEEN = set(".-_*~'`,^/\\:;|+=​­")
-SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST, EDGE_COST, BREAK_COST = 0.7, 0.5, 0.3, 9.0, 2.0, 1.5
+SIGN_COST, DROP_COST, REPEAT_COST, PLAIN_DROP_COST, EDGE_COST, BREAK_COST, GAP_COST = 0.7, 0.5, 0.3, 9.0, 2.0, 1.5, 0.5
 #: Signs that at a token's edge may be punctuation.
 EDGE = {c for c in SIGNS if not c.isalnum()}
 WORD = np.zeros(256, bool)
@@ -45,6 +45,8 @@ _letter = np.zeros(256, bool)
 _letter[0x41:0x5B] = _letter[0x61:0x7B] = True
 _sign = np.zeros(256, bool)
 _sign[[ord(c) for c in {*SIGNS, *BETWEEN} if c < "\x80"]] = True
+_mark = np.zeros(256, bool)
+_mark[[ord(c) for c in " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>-_*~`^/\\|+="]] = True
 #: Longer tokens are decoded each time, so that memory is bounded.
 MOST_KEPT = 160
 
@@ -77,7 +79,7 @@ class Model:
         found = self.hits.get(raw)
         if found is None:
             token, found = raw.decode("utf-8", "replace").lower(), ()
-            if any(c.isalpha() for c in token):
+            if any(c.isalpha() for c in token) and any(c in SIGNS or c in BETWEEN or c in " \n" or c == d for c, d in zip(token, token[1:] + "\0")):
                 found = tuple({i for w in self._viterbi(token).split() for i in self.features(w)})
             if len(self.hits) > 200_000:
                 self.hits.clear()
@@ -100,11 +102,15 @@ class Model:
         last, core = "", [i for i, ch in enumerate(token) if ch.isalnum()]
         for i, ch in enumerate(token):
             reads: list[tuple[str, float]] = []
+            if ch in " \n":  # between letters that stand alone: one blank, or a wider gap
+                reads = [("", 0.0), (" ", GAP_COST)] if ch == " " else [("", GAP_COST), (" ", 0.0)]
             if ch in SIGNS:
                 reads += [(c, SIGN_COST) for c in SIGNS[ch]]
             if ch in LETTERS:
                 reads.append((ch, 0.0))
-            if ch in BETWEEN or ch == last:
+            if ch in " \n":
+                ch = last
+            elif ch in BETWEEN or ch == last:
                 reads.append(("", REPEAT_COST if ch == last else DROP_COST))
                 if ch in BETWEEN:
                     reads.append((" ", BREAK_COST))
@@ -124,7 +130,7 @@ class Model:
                         key, new, out = (a, b), cost + extra, text
                     else:
                         k = LETTERS.find(c) + 1
-                        key, new, out = (b, k), cost + extra + self.cost[a, b, k], (text, c)
+                        key, new, out = (b, k) if k else (0, 0), cost + extra + self.cost[a, b, k], (text, c)
                     if key not in now or new < now[key][0]:
                         now[key] = (new, out)
             states = now
@@ -148,13 +154,17 @@ def _suspects(batch: TextBatch) -> list[tuple[int, bytes]]:
     marked[1:] |= (buf[1:] == buf[:-1]) & letter[1:]
     at = np.flatnonzero(np.logical_or.reduceat(letter | (buf >= 0x80), ws) & np.logical_or.reduceat(marked, ws))
     out = [(d, raw[i:j]) for d, i, j in zip(doc[at].tolist(), ws[at].tolist(), we[at].tolist())]
-    single = (we - ws == 1) & (_letter[buf[ws]] | sign[ws])
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (single).astype(np.int8), [0]))))
+    # a letter that stands alone may have punctuation beside it
+    starts = (buf < 0x80) | (buf >= 0xC0)
+    signs, marks = starts & ~_mark[buf], np.add.reduceat(starts, ws)
+    single = (np.add.reduceat(signs, ws) == 1) & (marks <= 3) | (marks == 1) & sign[ws]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
     for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
         for d, run in itertools.groupby(range(a, b), key=lambda i: doc[i]):
             run = list(run)
             if len(run) >= 3:
-                out.append((int(d), b"".join(raw[ws[i] : we[i]] for i in run)))
+                gaps = [b"", *(b" " if ws[j] - we[i] == 1 else b"\n" for i, j in zip(run, run[1:]))]
+                out.append((int(d), b"".join(gap + raw[ws[i] : we[i]] for gap, i in zip(gaps, run))))
     return out
 
 

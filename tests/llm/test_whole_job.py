@@ -50,3 +50,8 @@ def test_long_tokens_and_runs(spark):
     texts = ["1d10t_st-u-p1d_m0r0n", "l0$er_" * 100 + "1d10t", "m0r0n." * 60 + "l0$er", "b c d " * 100 + "an i d i o t"]
     got = insults(spark, texts)
     assert got == [{"idiot", "stupid", "moron"}, {"loser", "idiot"}, {"moron", "loser"}, {"idiot"}]
+
+
+def test_spaced_words_in_a_row(spark):
+    some = {"a s t u p i d man": {"stupid"}, "y o u i d i o t": {"idiot"}, "i d i o t s t u p i d": {"idiot", "stupid"}, "i d i o t  m o r o n": {"idiot", "moron"}, "5 i d i o t": {"idiot"}, "an i d i o t.": {"idiot"}, "í d í ó t": {"idiot"}, "a b c d e": set()}
+    assert insults(spark, list(some)) == list(some.values())
