@@ -184,17 +184,6 @@ def test_patterns(seed):
     assert sum(s * k for s, k in packing.fill(sizes, 50).items()) == best
 
 
-def test_small_cache(monkeypatch):
-    import public_tokenizers
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [prose(random.Random(i), 200).encode() + str(i).encode() for i in range(12)]
-    want = packing.Ids(path).of(texts)
-    monkeypatch.setattr(packing, "MOST_CACHED", 40)
-    small = packing.Ids(path)
-    assert all((np.concatenate(small.of([t])) == w).all() for t, w in zip(texts, want))
-
-
 def test_shards(docs, empty):
     text = F.coalesce("text", F.lit(""))
     meta = docs.select("doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("digest"))
