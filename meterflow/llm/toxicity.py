@@ -14,6 +14,7 @@ labels every score is the share of label 1, or 0.5 without any; repeated rows ge
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,51 @@ _mark = np.zeros(256, bool)
 _mark[[ord(c) for c in " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>-_*~`^/\\|+="]] = True
 #: Longer tokens are decoded each time, so that memory is bounded.
 MOST_KEPT = 160
+#: Tokens with more characters that may be dropped are decoded without a look at the gate.
+MOST_GATED = 6
+
+
+def _classes() -> dict[str, str]:
+    """Letters that a common sign may stand for share a class, named by its first letter."""
+    of = {c: c for c in LETTERS}
+    for several in SIGNS.values():
+        low = min(of[c] for c in several)
+        merged = {of[c] for c in several}
+        of = {c: low if k in merged else k for c, k in of.items()}
+    return of
+
+
+CLASS = _classes()
+#: For the gate: a letter is its class, a sign the capital of its class, since it may also be dropped; whatever else is a dash.
+_GATE = {ord(c): k for c, k in CLASS.items()} | {ord(c): CLASS[several[0]].upper() for c, several in SIGNS.items()}
+
+
+class _Gated(dict):
+    def __missing__(self, c: int) -> str:
+        return "-"
+
+
+_GATED = _Gated(_GATE)
+
+
+def gate(words: list[str]) -> re.Pattern:
+    """Finds, in a token written in classes, places at which some reading may begin with a learned word or beginning.
+
+    What it doesn't find in a token no reading holds: letters are read as they are or dropped as repetitions, signs are read or dropped,
+    and a word of a reading begins where the token does or behind a character that isn't a letter."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for k, _ in itertools.groupby(CLASS.get(c, "-") for c in w.rstrip("*")):
+            node = node.setdefault(k, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        if "" in node or not node:
+            return ""
+        return "(?:" + "|".join(f"[{k}{k.upper()}][{k}A-Z-]*{text(v)}" if k != "-" else f"-[A-Z-]*{text(v)}" for k, v in sorted(node.items())) + ")"
+
+    return re.compile("(?:^|(?<=[A-Z-]))" + text(trie)) if trie else re.compile("(?!)")
 
 
 class Model:
@@ -66,6 +112,7 @@ class Model:
         self.cost = -np.log(smooth / smooth.sum(2, keepdims=True))
         self.words, self.weights, self.base = words, weights, base
         self.index = {w: i for i, w in enumerate(words)}
+        self.gate = gate(words)
         self.memory: dict[str, list[str]] = {}
         self.hits: dict[bytes, tuple[int, ...]] = {}
 
@@ -79,7 +126,7 @@ class Model:
         found = self.hits.get(raw)
         if found is None:
             token, found = raw.decode("utf-8", "replace").lower(), ()
-            if any(c.isalpha() for c in token) and any(c in SIGNS or c in BETWEEN or c in " \n" or c == d for c, d in zip(token, token[1:] + "\0")):
+            if self._open(token) and any(c.isalpha() for c in token) and any(c in SIGNS or c in BETWEEN or c in " \n" or c == d for c, d in zip(token, token[1:] + "\0")):
                 found = tuple({i for w in self._viterbi(token).split() for i in self.features(w)})
             if len(self.hits) > 200_000:
                 self.hits.clear()
@@ -87,6 +134,13 @@ class Model:
                 self.hits[raw] = found
         return found
 
+    def _open(self, token: str) -> bool:
+        """Whether a reading of the token may hold a learned word. Letters spaced out, and tokens of many signs, always may."""
+        if " " in token or "\n" in token:
+            return True
+        read = token.translate(_GATED)
+        return sum(c < "a" for c in read) > MOST_GATED or self.gate.search(read) is not None
+
     def restore(self, token: str) -> list[str]:
         """Words of the likeliest reading of a token."""
         found = self.memory.get(token)
