@@ -2,21 +2,26 @@
 
 A suffix array of everything in one place can't be spread, so strings are dealt to shards by what they hold:
 
-* Documents lie in groups by ranges of doc_id (a bounded number of bytes each). Within a text, consecutive 50-byte
-  strings with the same least 20-byte hash form a segment; equal strings always meet under equal least hashes.
+* Documents lie in groups by ranges of doc_id, cut where their bytes add up to a group's. Within a text, consecutive
+  50-byte strings with the same least 20-byte hash form a segment; equal strings always meet under equal least hashes.
 * Groups send (least hash, segment hash) to shards, once a group. A shard answers, for each: nothing (no other
-  document has that hash), seen (a smaller group has the whole segment), or wanted (the segment may share strings
-  with others). Only wanted segments are sent as bytes, once, by their first document.
+  document has that hash), seen (a smaller range has the whole segment), or wanted (the segment may share strings
+  with others). Only wanted segments are sent as bytes, once a group.
 * A shard sorts the suffixes of its segments by induced sorting, computes permuted common prefixes, and finds the
   smallest owner of each 50-byte string. Ranges go back to the groups, which cut them out of the texts.
 
-A hash that too many different segments share would gather them in one shard; those segments are sent as single
-50-byte strings, dealt by their own hashes. Bytes are judged on the input. Hashes only choose what is compared, but
-for "seen", which rests on all 64 bits of the segment's hash (and 31 of the least hash and the shard's number, which
-segments around one frequent string share).
+Skew: a doc_id (or null) with more bytes than a group holds is dealt to several groups of one range, which don't see each
+other's bytes. A least hash that many different segments share would gather them in one shard: such hashes are looked for in a sample
+of ``SAMPLE_BYTES`` of text; their segments are dealt by their own hashes and sent as single 50-byte strings, each string
+once a group. The sample decides where things meet, never what is found: results are the same without it. Groups and
+shards grow with the root of the input up to a bound, so that rows between them stay as few as the blocks of a shuffle.
 
-Defined cases: a null text is empty; texts below 50 bytes lose nothing; rows of one doc_id don't
-remove each other's bytes; rows with a null doc_id count as the largest; repeated rows get equal results; an empty table gives no rows.
+Bytes are judged on the input. Hashes choose what is compared, but for "seen", which rests on 128 bits of two independent hashes of
+the segment besides 30 of its least hash: among 10**13 segments the odds of one clash are about 10**-13.
+
+Defined cases: a null text is empty; texts below 50 bytes lose nothing; texts have at most 2**31 bytes, as in Spark; rows of one
+doc_id don't remove each other's bytes; rows with a null doc_id count as the largest; repeated rows get equal results; a carried
+column that bears a name of the result gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,39 +32,71 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .shared import materialize, remove_tables
 from .suffixarray import repeated
-from .textbatch import BYTE, STEP, TextBatch, large, mixed, pieces, powers
+from .textbatch import BYTE, STEP, TextBatch, large, mixed, offsets, pieces, powers
 
 WIDTH, LEAST = 50, 20
-#: Bytes of text in a group, entries in a shard, bytes that are sorted at once.
-GROUP_BYTES, SHARD_ENTRIES, SORT_BYTES = 6 << 20, 1_000_000, 2 << 20
-#: Different segments of one least hash beyond which they are sent as single strings.
-MOST_SEGMENTS = 4_000
+#: Bytes of text in a group and entries in a shard, for small and for large inputs; bytes that are sorted at once.
+GROUP_BYTES, SHARD_ENTRIES, SORT_BYTES = (6 << 20, 32 << 20), (1_000_000, 3_000_000), 2 << 20
+#: Input at which a group and a shard begin to grow.
+SMALL_BYTES = 850 << 20
+#: Different segments of one least hash beyond which they are sent as single strings; bytes of text in which such hashes are looked for.
+MOST_SEGMENTS, SAMPLE_BYTES = 4_000, 16 << 20
+#: A longer text is hashed in parts.
+PART_BYTES = 2 << 20
 LAST = (1 << 63) - 1
+#: Byte values of a second hash.
+OTHER = mixed(BYTE * STEP)
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(parts, row, first byte): texts longer than ``PART_BYTES`` in parts, in which each string of ``WIDTH`` bytes is there once."""
+    size = np.diff(offsets(texts))
+    if not len(size) or size.max() <= PART_BYTES:
+        return texts, np.arange(len(size)), np.zeros(len(size), np.int64)
+    out, row, first = [], [], []
+    for i, n in enumerate(size.tolist()):
+        whole = texts[i].as_buffer().to_pybytes() if n else b""
+        for a in range(0, max(n - WIDTH + 1, 1), PART_BYTES - WIDTH):
+            out.append(whole[a : a + PART_BYTES - 1])
+            row.append(i)
+            first.append(a)
+    return pa.array(out, pa.large_binary()), np.array(row), np.array(first)
+
+
+def in_order(ids: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Rows of a group by doc_id and text, however they came."""
+    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_buffer().to_pybytes() if texts[i].as_buffer() else b"")), np.int64)
 
 
 class Segments:
     """Segments of a group's texts. ``rows``: order of the group's rows by doc_id and text; segments name a row by it."""
 
-    def __init__(self, table: pa.Table, shards: int):
+    def __init__(self, table: pa.Table, shards: int, hot: np.ndarray):
         ids = table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
         texts = large(table.column("text"))
-        self.rows = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_buffer().to_pybytes() if len(texts[i].as_buffer() or b"") else b"")), np.int64)
+        self.rows = in_order(ids, texts)
         self.ids, self.texts = ids[self.rows], texts.take(pa.array(self.rows))
-        found = [self._of(a, b) for a, b in pieces(self.texts)]
-        row, start, size, least, content = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-        shard = ((least >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-        lead = (least & np.uint64(0x7FFFFFFF)).astype(np.uint32)
-        order = np.lexsort((start, row, content, lead, shard))
-        self.row, self.start, self.size, self.shard, self.lead, self.content = (x[order] for x in (row, start, size, shard, lead, content))
+        parts, of, base = _parts(self.texts)
+        found = [self._of(parts.slice(a, b - a), of[a:b], base[a:b]) for a, b in pieces(parts)]
+        row, start, size, least, content, check = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+        is_hot = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
+        shard = (np.where(is_hot, mixed(content * STEP), least >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+        lead = (least & np.uint64(0x3FFFFFFF)).astype(np.uint32)
+        order = np.lexsort((start, row, check, content, lead, shard))
+        self.row, self.start, self.size, self.shard, self.lead, self.content, self.check, self.hot = (x[order] for x in (row, start, size, shard, lead, content, check, is_hot))
+        self.by_least = least[order].view(np.int64)
         #: Entries: runs of equal shard, lead and content; the first occurrence is in the smallest document.
         start_of = np.ones(len(order), bool)
         start_of[1:] = (self.shard[1:] != self.shard[:-1]) | (self.lead[1:] != self.lead[:-1])
         new = start_of.copy()
-        new[1:] |= self.content[1:] != self.content[:-1]
+        new[1:] |= (self.content[1:] != self.content[:-1]) | (self.check[1:] != self.check[:-1])
         self.entry = np.flatnonzero(new)
         self.of = np.cumsum(new) - 1
         doc = self.ids[self.row]
@@ -70,27 +107,26 @@ class Segments:
         several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
         self.several = several[(np.cumsum(start_of) - 1)[self.entry]] if len(at) else several
 
-    def _of(self, a: int, b: int):
-        batch = TextBatch(self.texts.slice(a, b - a))
+    @staticmethod
+    def _of(parts: pa.Array, rows: np.ndarray, base: np.ndarray):
+        batch = TextBatch(parts)
         buf = batch.buf
         n = len(buf) - LEAST + 1
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
         if n < WIDTH - LEAST + 1:
             return none
         up, down = powers(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(BYTE[buf] * up[:-1], out=sums[1:])
         h = mixed((sums[LEAST:] - sums[:-LEAST]) * down[:n])
-        least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)  # a piece has fewer than 2**24 bytes, or the position wraps below
-        if n >= 1 << 24:
-            least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+        least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)  # pieces have fewer than 2**24 bytes
         reach, want = 1, WIDTH - LEAST + 1
         while 2 * reach <= want:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
         if reach < want:
             least = np.minimum(least[: len(least) - (want - reach)], least[want - reach :])
-        at = (least & np.uint64(0xFFFFFF if n < 1 << 24 else 0xFFFFFFFF)).astype(np.int64)
+        at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         long = np.flatnonzero(batch.size >= WIDTH)
         if not len(long):
             return none
@@ -106,7 +142,10 @@ class Segments:
         doc = np.searchsorted(first, s, "right") - 1
         e = np.minimum(np.append(s[1:], stop[-1]), stop[doc]) + WIDTH - 1
         content = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * STEP)
-        return a + long[doc], s - first[doc], e - s, h[at[s]], content
+        np.cumsum(OTHER[buf] * up[:-1], out=sums[1:])
+        check = mixed((sums[e] - sums[s]) * down[s])
+        part = long[doc]
+        return rows[part], base[part] + s - first[doc], e - s, h[at[s]], content, check
 
     def bytes(self, i: int) -> bytes:
         text = self.texts[int(self.row[i])].as_buffer()
@@ -132,76 +171,85 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _send(shards: int):
+def _send(shards: int, hot: Broadcast):
     def run(key, table):
-        seg = Segments(table, shards)
-        rows = [(s, key[0].as_py(), _pack(seg.lead[seg.entry[a:b]] << np.uint32(1) | seg.several[a:b].astype(np.uint32), seg.content[seg.entry[a:b]])) for s, a, b in seg.by_shard()]
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "gid": pa.array([r[1] for r in rows], pa.int64()), "entries": pa.array([r[2] for r in rows], pa.binary())})
+        seg = Segments(table, shards, hot.value)
+        gid, order, rows = key[0].as_py(), table.column("range")[0].as_py(), []
+        for s, a, b in seg.by_shard():
+            at = seg.entry[a:b]
+            flags = seg.several[a:b].astype(np.uint32) | seg.hot[at].astype(np.uint32) << np.uint32(1)
+            rows.append((s, gid, order, _pack(seg.lead[at] << np.uint32(2) | flags, seg.content[at], seg.check[at])))
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "gid", "range", "entries"), zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
 
     return run
 
 
 def _answer(most_segments: int):
-    """Codes for a shard's entries: 0 nothing, 1 seen in a smaller group, 2 wanted, 3 wanted as single strings."""
+    """Codes for a shard's entries: 0 nothing, 1 seen in a smaller range, 2 wanted, 3 wanted as single strings."""
 
     def run(key, table):
-        rows = sorted(zip(table.column("gid").to_pylist(), table.column("entries").to_pylist()))
-        each, contents = zip(*(_unpack(e, "<u4", "<u8") for _, e in rows))
-        sent, content = np.concatenate(each), np.concatenate(contents)
-        gid = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-        order = np.lexsort((gid, content, sent >> np.uint32(1)))
-        lead, content, several, g = sent[order] >> np.uint32(1), content[order], (sent[order] & np.uint32(1)).astype(bool), gid[order]
+        rows = sorted(zip(table.column("range").to_pylist(), table.column("gid").to_pylist(), table.column("entries").to_pylist()))
+        each, contents, checks = zip(*(_unpack(e, "<u4", "<u8", "<u8") for *_, e in rows))
+        sent, content, check = np.concatenate(each), np.concatenate(contents), np.concatenate(checks)
+        place = np.repeat(np.array([r for r, *_ in rows]), [len(e) for e in each])
+        order = np.lexsort((place, check, content, sent >> np.uint32(2)))
+        flags, lead, content, check, place = sent[order] & np.uint32(3), sent[order] >> np.uint32(2), content[order], check[order], place[order]
         new = np.ones(len(lead), bool)
         new[1:] = lead[1:] != lead[:-1]
-        again = ~new
-        again[1:] &= content[1:] == content[:-1]
+        first = new.copy()
+        first[1:] |= (content[1:] != content[:-1]) | (check[1:] != check[:-1])
+        again = place > place[np.flatnonzero(first)][np.cumsum(first) - 1]
         at = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        shared = np.logical_or.reduceat(several, at) | (np.minimum.reduceat(g, at) < np.maximum.reduceat(g, at))
-        different = np.add.reduceat((~again).astype(np.int64), at)
-        kind = np.where(different >= 2, np.where(different > most_segments, 3, 2), 0)
+        hot = np.logical_or.reduceat(flags & np.uint32(2) > 0, at)
+        shared = hot | np.logical_or.reduceat(flags & np.uint32(1) > 0, at) | (np.minimum.reduceat(place, at) < np.maximum.reduceat(place, at))
+        different = np.add.reduceat(first.astype(np.int64), at)
+        kind = np.where(hot | (different > most_segments), 3, np.where(different >= 2, 2, 0))
         answer = np.empty(len(lead), np.uint8)
         answer[order] = np.where(shared[group], np.where(again, 1, kind[group]), 0)
         cut = np.cumsum([0] + [len(e) for e in each])
         packed = [zlib.compress(answer[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table({"gid": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "codes": pa.array(packed, pa.binary())})
+        return pa.table({"gid": pa.array([r[1] for r in rows], pa.int64()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "codes": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _ask(shards: int):
-    """A group's own ranges (shard -1 - gid: passed on as they are), and the bytes of its wanted segments by shard."""
+def _ask(shards: int, hot: Broadcast):
+    """A group's own table (its ranges that go, and where its wanted segments lie), which is passed on to it, and the bytes of wanted segments by shard."""
 
     def run(key, left, right):
         gid = key[0].as_py()
         if not left.num_rows:
             return pa.table({"shard": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "own": pa.array([], pa.bool_()), "load": pa.array([], pa.binary())})
-        seg = Segments(left, shards)
+        seg = Segments(left, shards, hot.value)
         codes = dict(zip(right.column("shard").to_pylist(), right.column("codes").to_pylist()))
         answer = np.zeros(len(seg.entry), np.uint8)
         for s, a, b in seg.by_shard():
             answer[a:b] = np.frombuffer(zlib.decompress(codes[s]), np.uint8)
         gone = (answer[seg.of] == 1) | ~seg.is_owner if len(seg.of) else np.zeros(0, bool)
-        out = [(gid % shards, gid, True, _pack(seg.row[gone].astype("<i4"), seg.start[gone].astype("<i4"), (seg.start + seg.size)[gone].astype("<i4")))]
-        wanted = np.flatnonzero(answer >= 2)
         ends = np.append(seg.entry[1:], len(seg.of))
-        where: dict[int, list] = {}
-        for i in wanted.tolist():
+        where: dict[int, list] = {}  # by shard: least hash, owner, bytes, number
+        lies: list[tuple[np.ndarray, np.ndarray]] = []  # by number: rows and first bytes
+        strings: dict[tuple[bytes, int], list] = {}  # what lies where, of single strings by owner
+        for i in np.flatnonzero(answer >= 2).tolist():
             first = int(seg.entry[i])
             data = seg.bytes(first)
             own = np.flatnonzero(seg.is_owner[first : ends[i]]) + first
             if answer[i] == 2:
-                where.setdefault(int(seg.shard[first]), []).append((int(seg.lead[first]), int(seg.owner[i]), data, seg.row[own], seg.start[own]))
+                where.setdefault(int(seg.shard[first]), []).append((int(seg.lead[first]), int(seg.owner[i]), data, len(lies)))
+                lies.append((seg.row[own], seg.start[own]))
             else:
                 for j in range(len(data) - WIDTH + 1):
-                    part = data[j : j + WIDTH]
-                    h = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
-                    where.setdefault(h % shards, []).append((1 << 40 | h >> 32, int(seg.owner[i]), part, seg.row[own], seg.start[own] + j))
+                    strings.setdefault((data[j : j + WIDTH], int(seg.owner[i])), []).append((own, j))
+        for (part, owner), found in strings.items():
+            h = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
+            where.setdefault(h % shards, []).append((1 << 40 | h >> 32, owner, part, len(lies)))
+            lies.append((np.concatenate([seg.row[own] for own, _ in found]), np.concatenate([seg.start[own] + j for own, j in found])))
+        many = [np.concatenate(x) for x in zip(*lies)] if lies else [np.zeros(0, np.int64)] * 2
+        mine = _pack(seg.row[gone].astype("<i4"), seg.start[gone].astype("<i4"), (seg.start + seg.size)[gone].astype("<i4"), np.array([len(x) for x, _ in lies], "<i4"), *(x.astype("<i4") for x in many))
+        out = [(gid % shards, gid, True, zlib.compress(mine, 1))]
         for s, found in where.items():
-            load = _pack(
-                np.array([f[0] for f in found], "<u8"), np.array([f[1] for f in found], "<i8"), np.array([len(f[2]) for f in found], "<i4"), np.array([len(f[3]) for f in found], "<i4"),
-                np.concatenate([f[3] for f in found]).astype("<i4"), np.concatenate([f[4] for f in found]).astype("<i4"), np.frombuffer(b"".join(f[2] for f in found), np.uint8),
-            )
+            load = _pack(np.array([f[0] for f in found], "<u8"), np.array([f[1] for f in found], "<i8"), np.array([len(f[2]) for f in found], "<i4"), np.array([f[3] for f in found], "<i4"), np.frombuffer(b"".join(f[2] for f in found), np.uint8))
             out.append((s, gid, False, zlib.compress(load, 1)))
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "gid", "own", "load"), zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))})
 
@@ -209,21 +257,20 @@ def _ask(shards: int):
 
 
 def _sort(key, table):
-    """Ranges found in a shard by suffix arrays over its wanted segments, back to their groups; own ranges pass."""
+    """Ranges found in a shard by suffix arrays over its wanted segments, back to their groups; groups' own tables pass."""
     gids, own, loads = (table.column(c).to_pylist() for c in ("gid", "own", "load"))
-    out = [(g, x) for g, o, x in zip(gids, own, loads) if o]
-    lead, owner, data, back, rows, starts = [], [], [], [], [], []
+    out = [(g, True, x) for g, o, x in zip(gids, own, loads) if o]
+    lead, owner, data, back, number = [], [], [], [], []
     for g, o, x in zip(gids, own, loads):
         if not o:
-            a, b, size, times, row, start, text = _unpack(zlib.decompress(x), "<u8", "<i8", "<i4", "<i4", "<i4", "<i4", "u1")
-            cut, at = np.cumsum(np.append(0, size)), np.cumsum(np.append(0, times))
+            a, b, size, k, text = _unpack(zlib.decompress(x), "<u8", "<i8", "<i4", "<i4", "u1")
+            cut = np.cumsum(np.append(0, size))
             whole = text.tobytes()
             lead.append(a)
             owner.append(b)
             back += [g] * len(a)
             data += [whole[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            rows += [row[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            starts += [start[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            number += k.tolist()
     if data:
         lead, owner = np.concatenate(lead), np.concatenate(owner)
         order = np.argsort(lead, kind="stable")
@@ -239,30 +286,39 @@ def _sort(key, table):
                 b = int(new[np.searchsorted(new, a, "right")]) if np.searchsorted(new, a, "right") < len(new) else len(order)
             some = order[a:b]
             for i, ranges in zip(some.tolist(), repeated([data[i] for i in some.tolist()], owner[some], WIDTH)):
-                for x, y in ranges:
-                    for r, s in zip(rows[i].tolist(), starts[i].tolist()):
-                        found.setdefault(back[i], []).append((r, s + x, s + y))
+                found.setdefault(back[i], []).extend((number[i], x, y) for x, y in ranges)
             a = b
-        out += [(g, _pack(*(np.array(c, "<i4") for c in zip(*f)))) for g, f in found.items()]
-    return pa.table({"gid": pa.array([g for g, _ in out], pa.int64()), "ranges": pa.array([x for _, x in out], pa.binary())})
+        out += [(g, False, _pack(*(np.array(c, "<i4") for c in zip(*f)))) for g, f in found.items() if f]
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("gid", "own", "ranges"), zip(*out) if out else ((),) * 3, (pa.int64(), pa.bool_(), pa.binary()))})
+
 
+def _ranges(own: list[bool], loads: list[bytes]) -> list[np.ndarray]:
+    """(row, first byte, end) of what goes of a group, by row and first byte."""
+    row, start, end, times, at_row, at = _unpack(zlib.decompress(next(x for o, x in zip(own, loads) if o)), *("<i4",) * 6)
+    replies = [np.concatenate(x) for x in zip(*(_unpack(x, *("<i4",) * 3) for o, x in zip(own, loads) if not o))]
+    if replies:
+        number, x, y = replies
+        n = times[number].astype(np.int64)
+        first = (np.cumsum(times, dtype=np.int64) - times)[number]
+        lies = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row, start, end = np.concatenate((row, at_row[lies])), np.concatenate((start, at[lies] + np.repeat(x, n))), np.concatenate((end, at[lies] + np.repeat(y, n)))
+    by = np.lexsort((start, row))
+    return [row[by], start[by], end[by]]
 
-RESULT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
 
+RESULT = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))])
 
-def _cut(keep_text: bool, carry: tuple[str, ...]):
+
+def _cut(keep_text: bool, carried: list[str]):
     def run(key, left, right):
         seg_ids = left.column("doc_id").combine_chunks()
-        ids = seg_ids.fill_null(LAST).to_numpy(zero_copy_only=False)
         texts = large(left.column("text"))
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_buffer().to_pybytes() if len(texts[i].as_buffer() or b"") else b""))
-        found = [np.concatenate(x) for x in zip(*[_unpack(r, "<i4", "<i4", "<i4") for r in right.column("ranges").to_pylist()])] or [np.zeros(0, np.int32)] * 3
-        by = np.lexsort((found[1], found[0]))
-        row, start, end = (x[by] for x in found)
-        cut = np.searchsorted(row, np.arange(len(order) + 1))
+        order = in_order(seg_ids.fill_null(LAST).to_numpy(zero_copy_only=False), texts).tolist()
         out: list[list] = [[] for _ in range(6)]
+        row, start, end = _ranges(right.column("own").to_pylist(), right.column("ranges").to_pylist()) if order else [np.zeros(0, np.int32)] * 3
+        cut = np.searchsorted(row, np.arange(len(order) + 1))
         for k, i in enumerate(order):
-            data = texts[i].as_buffer().to_pybytes() if len(texts[i].as_buffer() or b"") else b""
+            data = texts[i].as_buffer().to_pybytes() if texts[i].as_buffer() else b""
             at, removed, spans, kept = 0, 0, 0, []
             s, e = start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]]
             if len(s):
@@ -277,35 +333,74 @@ def _cut(keep_text: bool, carry: tuple[str, ...]):
                 column.append(v)
         if not keep_text:
             out[5] = [hashlib.sha256(x).hexdigest().encode() for x in out[5]]
-        result = {c: pa.array(v, t) for c, v, t in zip(("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"), out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))}
-        return pa.table(result | {c: left.column(c).take(pa.array(order, pa.int64())) for c in carry})
+        result = {c: pa.array(v, t) for c, v, t in zip(RESULT.names, out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))}
+        return pa.table(result | {c: left.column(c).take(pa.array(order, pa.int64())) for c in carried})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, shard_entries: int = SHARD_ENTRIES, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def group_ranges(docs: DataFrame, group_bytes: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first doc_id of each range, groups that it is dealt to): ranges of about ``group_bytes``; a doc_id with more is a range of its own.
+
+    Two numbers for each ``group_bytes`` of text come to the driver."""
+    sizes = docs.groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("id")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("b"))
+    spread = materialize(sizes.repartitionByRange(max(1, -(-total // (16 * group_bytes))), "id").select("id", "b", F.spark_partition_id().alias("p")), "sizes")
+    before = F.coalesce(F.sum("b").over(Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spread.withColumn("k", F.floor(before / group_bytes)).groupBy("p", "k").agg(F.min("id").alias("id")).select("id", F.lit(1).cast("long").alias("n"))
+    heavy = spread.where(F.col("b") > group_bytes).select("id", F.ceil(F.col("b") / group_bytes).alias("n"))
+    rows = starts.unionByName(heavy).collect()
+    remove_tables(spread)
+    several = {r["id"]: r["n"] for r in rows if r["n"] > 1}
+    bounds = sorted({r["id"] for r in rows} | {i + 1 for i in several if i < LAST})
+    return np.array(bounds, np.int64), np.array([several.get(i, 1) for i in bounds], np.int64)
+
+
+def hot_leads(docs: DataFrame, total: int, most_segments: int, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Least hashes that, by a sample of documents, more than ``most_segments`` different segments share."""
+    share = min(1.0, sample_bytes / max(total, 1))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def segments(batches):
+        for batch in batches:
+            seg = Segments(pa.Table.from_batches([batch]), 1, np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(seg.by_least), pa.array(seg.content.view(np.int64))], names=["least", "content"])
+
+    counts = some.select("doc_id", "text").mapInArrow(segments, "least long, content long").distinct().groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+    return np.array([r["least"] for r in counts.where(F.col("n") > max(8, most_segments * share)).select("least").collect()], np.int64).view(np.uint64)
+
+
+def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = (), group_bytes: int | None = None, shard_entries: int | None = None, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, text (what is left, if ``keep_text``: bytes that a cut
-    took from a letter are left out), n_bytes, n_removed, n_spans, kept (SHA-256 of what is left, without ``keep_text``), and columns to ``carry`` along."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", *carry)
-    whole = docs.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("b"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
-    total = whole["b"] or 0
-    groups = max(-(-total // group_bytes), min(64, whole["n"]), 1)
-    shards = max(-(-total // (14 * shard_entries)), 64)
-    bounds = np.zeros(0, np.int64)
-    if groups > 1 and whole["ids"]:
-        shares = F.array(*[F.lit(i / groups) for i in range(1, groups)])
-        bounds = np.unique(np.array(docs.select(F.percentile_approx("doc_id", shares, F.lit(10 * groups))).first()[0], np.int64))
-
-    @F.pandas_udf("long")
-    def group_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(LAST).to_numpy(np.int64), "right"))
-
-    grouped = docs.withColumn("gid", group_of(F.coalesce("doc_id", F.lit(LAST)))).select("gid", "doc_id", "text", *carry)
-    entries = grouped.groupBy("gid").applyInArrow(_send(shards), "shard long, gid long, entries binary")
+    took from a letter are left out), n_bytes, n_removed, n_spans, kept (SHA-256 of what is left, without ``keep_text``), and columns to ``carry`` along.
+
+    Jobs: three small ones choose groups and look for hot hashes; the result itself is lazy."""
+    carry = tuple(c for c in carry if c not in RESULT.names)
+    carried = [f"_{i}" for i in range(len(carry))]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, carried)])
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("b")).first()["b"] or 0
+    more = max(1.0, total / SMALL_BYTES) ** 0.5
+    group_bytes = group_bytes or max(1, min(int(GROUP_BYTES[0] * more), GROUP_BYTES[1], -(-total // 48)))
+    shards = max(-(-total // (14 * (shard_entries or min(int(SHARD_ENTRIES[0] * more), SHARD_ENTRIES[1])))), 64)
+    context = docs.sparkSession.sparkContext
+    ranges = context.broadcast(group_ranges(docs, group_bytes, total))
+    hot = context.broadcast(hot_leads(docs, total, most_segments))
+
+    @F.pandas_udf("struct<gid long, range long>")
+    def group_of(ids: pd.Series, salt: pd.Series) -> pd.DataFrame:
+        first, groups = ranges.value
+        at = np.maximum(np.searchsorted(first, ids.to_numpy(np.int64), "right") - 1, 0)
+        return pd.DataFrame({"gid": (np.cumsum(groups) - groups)[at] + salt.to_numpy(np.int64) % groups[at], "range": at})
+
+    salt = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    grouped = docs.withColumn("_group", group_of(F.coalesce("doc_id", F.lit(LAST)), salt)).select("_group.gid", "_group.range", "doc_id", "text", *carried)
+    entries = grouped.groupBy("gid").applyInArrow(_send(shards, hot), "shard long, gid long, range long, entries binary")
     answers = entries.groupBy("shard").applyInArrow(_answer(most_segments), "gid long, shard long, codes binary")
-    asked = grouped.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_ask(shards), "shard long, gid long, own boolean, load binary")
-    ranges = asked.groupBy("shard").applyInArrow(_sort, "gid long, ranges binary")
-    return grouped.groupBy("gid").cogroup(ranges.groupBy("gid")).applyInArrow(_cut(keep_text, carry), RESULT + "".join(f", {c} {t}" for c, t in docs.dtypes if c in carry))
+    asked = grouped.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_ask(shards, hot), "shard long, gid long, own boolean, load binary")
+    found = asked.groupBy("shard").applyInArrow(_sort, "gid long, own boolean, ranges binary")
+    types = {f.name: f.dataType for f in docs.schema.fields}
+    schema = T.StructType([*RESULT.fields, *(T.StructField(n, types[n]) for n in carried)])
+    out = grouped.groupBy("gid").cogroup(found.groupBy("gid")).applyInArrow(_cut(keep_text, carried), schema)
+    return out.select(*RESULT.names, *[F.col(n).alias(c) for c, n in zip(carry, carried)])
 
 
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

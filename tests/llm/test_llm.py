@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from meterflow.llm import catalog, decontaminate, embeddings, licences, neardup, packing, quality, repeats, sharding, suffixarray, toxicity, urlfilter
@@ -118,6 +119,54 @@ def test_null_ids_come_last(spark):
     assert got[5] == 0 and got[9] == got[None] == len(text.encode())
 
 
+def test_hot_ids_are_dealt(spark, monkeypatch):
+    """A third of the bytes under one doc_id, and as many under null: several groups of one range; long texts are hashed in parts."""
+    monkeypatch.setattr(repeats, "PART_BYTES", 400)
+    rng = random.Random(12)
+    own = [prose(rng, rng.randint(5, 300)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(17, own[rng.randrange(40)] + str(i)) for i in range(40)] + [(None, own[rng.randrange(40)] + str(i)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    first, groups = repeats.group_ranges(d, 2000, 60_000)
+    assert groups.max() > 3
+    want = Counter()
+    for i, t in rows:
+        data, k = t.encode(), (1 << 62) if i is None else i
+        seen = {o.encode()[j : j + 50] for x, o in rows if ((1 << 62) if x is None else x) < k for j in range(len(o.encode()) - 49)}
+        cover = bytearray(len(data))
+        for j in range(len(data) - 49):
+            if data[j : j + 50] in seen:
+                cover[j : j + 50] = b"\1" * 50
+        want[i, bytes(x for x, c in zip(data, cover) if not c).decode("utf-8", "ignore")] += 1
+    got = repeats.remove_repeats(d, group_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want
+
+
+def test_clashing_hashes(spark, monkeypatch):
+    """Were the first hash of a segment of two bits, the second would still tell segments apart."""
+    rng = random.Random(2)
+    core = "ranshqsvopgbmhqbain"
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(30)) + core + "".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(300)] + [(900, core), (901, "")]
+    kept = repeats.Segments._of
+
+    def narrow(*a):
+        *rest, content, check = kept(*a)
+        return *rest, content & np.uint64(3), check
+
+    monkeypatch.setattr(repeats.Segments, "_of", staticmethod(narrow))
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": [r[1] for r in rows], "range": [0] * len(rows)})
+    seg = repeats.Segments(table, 64, np.zeros(0, np.uint64))
+    assert len(set(seg.content.tolist())) == 4 and seg.is_owner.all()
+    monkeypatch.undo()
+    assert all(r["n_removed"] == 0 for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=4000).collect())
+
+
+def test_repeats_with_clashing_columns(spark, rows):
+    d = spark.createDataFrame([(i, t, "a", "b", "c") for i, t, *_ in rows], "doc_id long, text string, gid string, `a.b` string, n_bytes string")
+    got = repeats.remove_repeats(d, carry=("gid", "a.b", "n_bytes"))
+    assert got.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "gid", "a.b"]
+    assert {tuple(r)[6:] for r in got.collect()} == {("a", "b")}
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_suffix_arrays(seed):
     rng = np.random.RandomState(seed)
