@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DAY
 from ..operators.align import interpolate, union_timebase
 
 
@@ -43,7 +42,7 @@ def argument(names: list[str], available: set[str]) -> str | float | None:
     raise ValueError(f"none of {names} is a channel or a number")
 
 
-def aligned(channels: dict[str, DataFrame], keys: list[str], trigger: str | None = None, stamps: DataFrame | None = None, bucket: float = DAY) -> DataFrame:
+def aligned(channels: dict[str, DataFrame], keys: list[str], trigger: str | None = None, stamps: DataFrame | None = None, bucket: float | None = None) -> DataFrame:
     """(keys, t, a column per channel): on all stamps, on those of a ``trigger`` channel, or on given ``stamps(keys, t)``."""
     base = stamps if stamps is not None else union_timebase(channels[trigger], keys=keys) if trigger else union_timebase(*channels.values(), keys=keys)
     return reduce(lambda out, item: interpolate(item[1], out, keys, "f", bucket=bucket).withColumnRenamed("v", item[0]), channels.items(), base)

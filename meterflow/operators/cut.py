@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DAY
-from .align import linear_value, neighbours, previous_value
+from .align import linear_value, previous_value
 
 
-def cut(samples: DataFrame, keys: list[str], start: float, stop: float, ends: bool = True, linear: bool = True, bucket: float = DAY) -> DataFrame:
+def cut(samples: DataFrame, keys: list[str], start: float, stop: float, ends: bool = True, linear: bool = True) -> DataFrame:
     """(keys, t, v) with start <= t <= stop. With ``ends``, a bound strictly inside a channel's span at which there is no
-    sample gets an interpolated one. Channels that don't reach into the span give no rows."""
+    sample gets an interpolated one. Channels that don't reach into the span give no rows.
+
+    The samples on either side of a bound are aggregates of a channel, pre-aggregated where the samples lie."""
     inside = samples.where(F.col("t").between(start, stop)).select(*keys, "t", "v")
     if not ends:
         return inside
-    span = samples.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    bounds = span.select(*keys, "_lo", "_hi", F.explode(F.array_distinct(F.array(F.lit(start), F.lit(stop)))).alias("t")).where("t > _lo AND t < _hi").select(*keys, "t")
-    near = neighbours(samples, bounds, keys, bucket).where("before.t <> t")
-    edges = near.select(*keys, "t", (linear_value() if linear else previous_value()).alias("v"))
-    return inside.unionByName(edges)
+    order, sample = F.struct("t", "ord"), F.struct("t", "v")
+    at = sorted({start, stop})
+    near = [f(sample, F.when(F.col("t") <= b if n == "b" else F.col("t") > b, order)).alias(f"{n}{i}") for i, b in enumerate(at) for f, n in ((F.max_by, "b"), (F.min_by, "a"))]
+    bounds = [F.struct(F.lit(b).cast(samples.schema["t"].dataType).alias("t"), F.col(f"b{i}").alias("before"), F.col(f"a{i}").alias("after")) for i, b in enumerate(at)]
+    found = samples.groupBy(*keys).agg(*near).select(*keys, F.inline(F.array(*bounds))).where("after IS NOT NULL AND before.t <> t")
+    return inside.unionByName(found.select(*keys, "t", (linear_value() if linear else previous_value()).alias("v")))
 
 
 def cut_group(samples: DataFrame, keys: list[str], start: float, stop: float, from_first: bool = False, zero: bool = False, **how) -> DataFrame:

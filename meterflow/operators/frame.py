@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import DAY
-from .align import every_stamp, interpolate, union_timebase
+from .align import beyond, both_ways, bucket_width, linear_value, previous_value
 
 
 def wide_exact(samples: DataFrame, keys: list[str], channel: str, names: list[str]) -> DataFrame:
@@ -15,20 +14,34 @@ def wide_exact(samples: DataFrame, keys: list[str], channel: str, names: list[st
     return samples.groupBy(*keys, "t").pivot(channel, names).agg(F.min_by("v", "ord"))
 
 
-def wide(samples: DataFrame, keys: list[str], channel: str, names: list[str], linear: bool = False, outside_null: bool = False, same_group: bool = False, bucket: float = DAY) -> DataFrame:
-    """As :func:`wide_exact`, on the union of stamps, each channel interpolated. ``same_group``: all channels have the same
-    stamps, so nothing is interpolated. ``outside_null``: null beyond a channel's own span."""
+def wide(samples: DataFrame, keys: list[str], channel: str, names: list[str], linear: bool = False, outside_null: bool = False, same_group: bool = False, bucket: float | None = None) -> DataFrame:
+    """As :func:`wide_exact`, on the union of stamps, each channel interpolated (repeated, unless ``linear``). ``same_group``: all
+    channels have the same stamps, so nothing is interpolated. ``outside_null``: null beyond a channel's own span.
+
+    Channels become columns first, a row for each stamp; then each column is filled within time buckets (of ``bucket``, or as
+    :func:`~.align.bucket_width` finds by a job) and from a row per bucket beyond them. Channels and stamps are never multiplied."""
     if same_group:
         return wide_exact(samples, keys, channel, names)
     some = samples.where(F.col(channel).isin(names))
-    stamps = union_timebase(some, keys=keys)
-    own = some.select(*keys, channel).distinct()
-    probes = every_stamp(own, stamps, keys)
-    out = interpolate(some, probes, [*keys, channel], "f" if linear else "S", bucket=bucket)
-    if outside_null:
-        span = some.groupBy(*keys, channel).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-        out = out.join(span, [*keys, channel]).withColumn("v", F.when(F.col("t").between(F.col("_lo"), F.col("_hi")), F.col("v")))
-    return out.groupBy(*keys, "t").pivot(channel, names).agg(F.first("v"))
+    bucket = bucket or bucket_width(some, keys)
+    n = range(len(names))
+    own = [F.when(F.col(channel) == name, F.struct("t", "v")) for name in names]
+    order = [F.when(F.col(channel) == name, F.col("ord")) for name in names]
+    sides = [(f"l{i}", F.max_by(own[i], order[i])) for i in n] + [(f"f{i}", F.min_by(own[i], order[i])) for i in n]
+    rows = some.withColumn("_b", F.floor(F.col("t") / bucket)).repartition(*keys, "_b").groupBy(*keys, "_b", "t").agg(*[c.alias(k) for k, c in sides])
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("t"))
+    edges = rows.groupBy(*keys, "_b").agg(*[F.max_by(f"l{i}", at(f"l{i}")).alias(f"el{i}") for i in n], *[F.min_by(f"f{i}", at(f"f{i}")).alias(f"ef{i}") for i in n])
+    edges = beyond(edges, keys, [f"el{i}" for i in n], [f"ef{i}" for i in n])
+    up, down = both_ways(keys, "t")
+    filled = rows.withColumns({f"p{i}": F.last(f"l{i}", True).over(up) for i in n} | {f"n{i}": F.last(f"f{i}", True).over(down) for i in n}).join(edges, [*keys, "_b"], "left")
+    filled = filled.withColumns({f"p{i}": F.coalesce(f"p{i}", f"el{i}") for i in n} | {f"n{i}": F.coalesce(f"n{i}", f"ef{i}") for i in n})
+
+    def value(i: int) -> Column:
+        v = linear_value(f"p{i}", f"n{i}") if linear else previous_value(True, f"p{i}", f"n{i}")
+        inside = F.col(f"p{i}").isNotNull() & (F.col(f"n{i}").isNotNull() | (F.col(f"p{i}.t") == F.col("t")))
+        return (F.when(inside, v) if outside_null else v).alias(names[i])
+
+    return filled.select(*keys, "t", *[value(i) for i in n])
 
 
 def long(wide_frame: DataFrame, t: str, columns: list[str]) -> DataFrame:

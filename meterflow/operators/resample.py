@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DAY, Options
+from ..model import Options
 from .align import every_stamp, interpolate
 
 
@@ -36,7 +36,7 @@ def spans(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
 
 
-def resample(samples: DataFrame, keys: list[str], step: float | None = None, stamps: DataFrame | None = None, kind: str = "f", zero: bool = False, options: Options = Options(), bucket: float = DAY) -> DataFrame:
+def resample(samples: DataFrame, keys: list[str], step: float | None = None, stamps: DataFrame | None = None, kind: str = "f", zero: bool = False, options: Options = Options(), bucket: float | None = None) -> DataFrame:
     """(keys, t, v) on a raster of ``step`` over the common span of all channels, or on ``stamps(t)``."""
     channels = samples.select(*keys).distinct()
     first = None

@@ -41,7 +41,7 @@ def summary(samples: DataFrame, keys: list[str], bucket: float = DAY, per_second
 
 def region_summary(samples: DataFrame, keys: list[str], start: float, stop: float, bucket: float = DAY) -> DataFrame:
     """:func:`summary` of the part from start to stop, with interpolated ends."""
-    part = cut(samples, keys, start, stop, bucket=bucket).withColumn("ord", F.lit(0).cast("long"))
+    part = cut(samples, keys, start, stop).withColumn("ord", F.lit(0).cast("long"))
     return summary(part, keys, bucket)
 
 

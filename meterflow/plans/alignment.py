@@ -184,12 +184,12 @@ def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resample.resample(_seconds(spark, sf_dir), ["channel"], 1800.0, kind="S", bucket=86400)
+    out = resample.resample(_seconds(spark, sf_dir), ["channel"], 1800.0, kind="S")
     return out.select("channel", F.round("t", 3).alias("t"), "v")
 
 
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resample.resample(_seconds(spark, sf_dir), ["channel"], 7200.0, bucket=86400)
+    out = resample.resample(_seconds(spark, sf_dir), ["channel"], 7200.0)
     return out.select("channel", F.round("t", 3).alias("t"), F.round("v", 4).alias("v"))
 
 
@@ -205,11 +205,11 @@ def wide_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame.wide(event_samples(spark, sf_dir).where(f"t >= {START} AND t < {START + DAY}"), [], "channel", NAMES)
+    return frame.wide(event_samples(spark, sf_dir), [], "channel", NAMES)
 
 
 def wide_outside_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame.wide(event_samples(spark, sf_dir).where(f"t >= {START} AND t < {START + DAY}"), [], "channel", NAMES, outside_null=True)
+    return frame.wide(event_samples(spark, sf_dir), [], "channel", NAMES, outside_null=True)
 
 
 def from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ def chunked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in [asof_prev, interp_linear, interp_integer, nearest_stamp, point_lookup, lookup_clamped, union_timebase, gps_timebase, xy_pairs, scalar_arith, cut_closed, cut_with_edges, cut_repeat_edges, cut_from_first, validate_drop, cleanup_timestamps, strict_monotonic, monotonic_report, raster_grid, raster_even, resample_prev, resample_linear, resample_on_channel, wide_exact, wide_prev, wide_outside_null, from_wide, unique_names, flatten_structs, chunked_frames, *map(_arith, [*ARITH, *COMPARED])]}
 
 _CV = f"WITH {S}, q AS (SELECT * FROM s WHERE channel = 'view'), p AS (SELECT user_id, ord AS event_id, t, v AS x FROM s WHERE channel = 'click'), {near()}"
-_DAY = f"WITH {S}, d AS (SELECT * FROM s WHERE t >= {START} AND t < {START + DAY}), c AS (SELECT DISTINCT channel FROM d), q AS (SELECT * FROM d), p AS (SELECT channel, t FROM c CROSS JOIN (SELECT DISTINCT t FROM d)), {near('p.*', 'channel')}"
+_DAY = f"WITH {S}, d AS (SELECT * FROM s), c AS (SELECT DISTINCT channel FROM d), q AS (SELECT * FROM d), p AS (SELECT channel, t FROM c CROSS JOIN (SELECT DISTINCT t FROM d)), {near('p.*', 'channel')}"
 _PIVOT = ", ".join(f"max(v) FILTER (channel = '{n}') AS {n}" for n in NAMES)
 _GRID = "WITH s AS (SELECT event_type AS channel, (epoch_us(ts) - 1704067200000000) / 1000000.0::DOUBLE AS t, value AS v FROM events), q AS (SELECT * FROM s), m AS (SELECT min(t) AS lo, max(t) AS hi FROM s), g AS (SELECT lo + i * ((lo + {step}) - lo) AS t FROM m, range(0, CAST(ceil((hi - lo) / {step}) AS BIGINT)) r(i)), p AS (SELECT channel, t FROM (SELECT DISTINCT channel FROM s) CROSS JOIN g), "
 _ORD = "WITH o AS (SELECT o_orderstatus, o_orderkey AS ord, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders), l AS (SELECT *, lag(t) OVER (PARTITION BY o_orderstatus ORDER BY ord) AS before FROM o) "
