@@ -1,11 +1,14 @@
 """Operator 9, licence scans, in built-in functions only: digests of normalised texts joined with known digests.
 
-A text is normalised by lower-casing, removal of copyright lines, equivalent spellings and punctuation, and joining of
-blanks; its SHA-256 is looked up among the digests of known licence texts. Whole documents are looked up, and each line
-of a document as well, since notices stand among other text.
-
-Defined cases: a null text counts as empty and matches nothing, nor does a text or line of which nothing is left; a line that
-occurs again counts again; repeated rows are all reported.
+A text is normalised once: lower case, copyright lines away, punctuation and blanks to single blanks, equivalent spellings to
+one. Entire texts are hash-joined with the digests of known licence texts. Notices stand among other text, so the lines of a document,
+and its paragraphs of several lines, are exploded and hash-joined as well. Which strategy a join takes is left to Spark, so any number of
+licences may be known; units shorter or longer than every known text are not digested. Known from the start are the texts
+and notices of :mod:`.licence_texts`; :func:`known_folder` reads more.
+
+Defined cases: a null text counts as empty and matches nothing, nor does a text or unit of which nothing is left; a line that
+occurs again counts again; repeated rows are all reported; a column that bears a name of the result gives way to it, all other columns are kept,
+whatever their names; texts may be of any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,55 +16,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known notices and the licence that each stands for.
-KNOWN = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("All-Rights-Reserved", "All rights reserved."),
-    ("MIT", "This software is released under the MIT License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-]
-#: Spellings that count as the same.
-SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("organisation", "organization"), ("merchantability", "merchantability"), ("neighbouring", "neighboring"), ("version", "v"), ("http:", "https:")]
+from .licence_texts import KNOWN
+from .shared import fresh_names, quoted
+
+#: Beginnings of words that count as the same, and words that do.
+STEMS = [("licenc", "licens"), ("organis", "organiz"), ("recognis", "recogniz"), ("authoris", "authoriz"), ("utilis", "utiliz"), ("neighbour", "neighbor"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("programme", "program"), ("cancelled", "canceled")]
+WORDS = [("http", "https"), ("version", "v"), ("whilst", "while"), ("sub license", "sublicense"), ("non commercial", "noncommercial")]
 COPYRIGHT = r"(?m)^[^\n]*(?:copyright (?:\(c\)|[0-9])|\(c\) [0-9]|©)[^\n]*$"
+_WORD = r"a-z0-9\x{80}-\x{10FFFF}"
+#: Punctuation with the blanks around it, and several blanks.
+MARKS = rf" ?(?:[^{_WORD} \n]+ *)+| {{2,}}"
+BREAK = r"\n *\n[ \n]*"
 
 
 def normal(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    for a, b in SPELLINGS:
-        out = F.regexp_replace(out, rf"\b{a}", b)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), " +", " "))
+    """Normalised lines, with a blank at either end of each."""
+    low = F.lower(text)
+    some = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+    low = F.when(some, F.regexp_replace(low, COPYRIGHT, " ")).otherwise(low)
+    out = F.concat(F.lit(" "), F.replace(F.regexp_replace(low, MARKS, " "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for a, b in STEMS:
+        out = F.replace(out, F.lit(f" {a}"), F.lit(f" {b}"))
+    for a, b in WORDS:
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return out
+
+
+def one_line(normalised: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(normalised, F.lit("\n"), F.lit(" ")), " {2,}", " "))
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """Digests of known licence texts, (digest, licence), one row a digest."""
-    rows = spark.createDataFrame(list(known), "licence string, text string")
-    return rows.select(F.sha2(normal(F.col("text")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    """Digests of known licence texts, (digest, licence, size of the normalised text), one row a digest. ``known``: pairs, or a frame (licence, text)."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "licence string, text string")
+    line = one_line(normal(F.coalesce("text", F.lit(""))))
+    rows = rows.select(F.sha2(line, 256).alias("digest"), "licence", F.length(line).alias("size")).where("size > 0")
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.first("size").alias("size"))
+
+
+def known_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Known licences from a folder of whole texts, each named by its file: frames for :func:`known_digests`."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", "").alias("licence"), F.col("value").alias("text"))
 
 
-def scan_licences(docs: DataFrame, known: DataFrame, most_known: int = 10_000) -> DataFrame:
-    """``docs`` with text_digest, text_licence, n_lines, n_licence_lines and licences (those of lines, sorted).
+RESULT = ["text_digest", "text_licence", "n_lines", "n_licence_lines", "n_licence_paragraphs", "licences"]
 
-    Entire texts are hash-joined with the known digests. For lines the known digests, of which there may be
-    ``most_known``, become a constant of the plan, so that documents are neither exploded nor shuffled."""
-    rows = known.limit(most_known + 1).collect()
-    if len(rows) > most_known:
-        raise ValueError(f"more than {most_known} known digests")
-    by_digest = F.create_map(*[F.lit(x) for r in rows for x in (r["digest"], r["licence"])]) if rows else F.expr("cast(map() as map<string,string>)")
+
+def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with text_digest, text_licence (of the entire text), n_lines, n_licence_lines, n_licence_paragraphs (of several lines) and licences (of all units, sorted).
+
+    One small job finds the least and greatest size of known texts."""
+    low, high = known.agg(F.min("size"), F.max("size")).first()
+    k1, k2, norm = fresh_names(docs, "k1", "k2", "norm")
     text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
-    found = F.filter(F.transform(F.filter(lines, lambda x: F.length(x) > 0), lambda x: F.try_element_at(by_digest, F.sha2(normal(x), 256))), lambda x: x.isNotNull())
-    keep = [c for c in docs.columns if c not in ("text_digest", "text_licence", "n_lines", "n_licence_lines", "licences")]
-    out = docs.select(*keep).withColumns({"text_digest": F.sha2(normal(text), 256), "_found": found, "n_lines": F.size(lines).cast("long")})
-    out = out.join(known.select(F.col("digest").alias("text_digest"), F.col("licence").alias("text_licence")), "text_digest", "left")
-    return out.select(*keep, "text_digest", "text_licence", "n_lines", F.size("_found").cast("long").alias("n_licence_lines"), F.concat_ws(",", F.array_sort(F.array_distinct("_found"))).alias("licences"))
+    keys = [F.xxhash64(text).alias(k1), F.xxhash64(F.lit(1), text).alias(k2)]  # what is found depends on the text alone
+    lines = F.transform(F.split(norm, "\n"), lambda x: F.struct(F.lit(0).alias("kind"), F.trim(x).alias("unit")))
+    several = F.filter(F.transform(F.split(norm, BREAK), lambda x: F.btrim(x, F.lit(" \n"))), lambda x: F.contains(x, F.lit("\n")))
+    paragraphs = F.transform(several, lambda x: F.struct(F.lit(1).alias("kind"), one_line(x).alias("unit")))
+    units = F.filter(F.concat(lines, paragraphs), lambda x: F.length(x["unit"]).between(low or 1, high or 0))
+    digests = known.select("digest", "licence")
+    found = docs.select(*keys, normal(text).alias(norm)).select(k1, k2, F.posexplode(units).alias("pos", "u"))
+    found = found.select(k1, k2, "pos", "u.kind", F.sha2("u.unit", 256).alias("digest")).join(digests, "digest").select(k1, k2, "pos", "kind", "licence").distinct()
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    found = found.groupBy(k1, k2).agg(count(0).alias("n_licence_lines"), count(1).alias("n_licence_paragraphs"), F.collect_set("licence").alias("licences"))
+    keep = [c for c in docs.columns if c not in RESULT]
+    out = docs.select(*quoted(keep), *keys, F.sha2(one_line(normal(text)), 256).alias("text_digest"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    out = out.join(digests.select(F.col("digest").alias("text_digest"), F.col("licence").alias("text_licence")), "text_digest", "left").join(found, [k1, k2], "left")
+    values = {"n_licence_lines": F.coalesce("n_licence_lines", F.lit(0)), "n_licence_paragraphs": F.coalesce("n_licence_paragraphs", F.lit(0)), "licences": F.array_join(F.array_sort(F.coalesce("licences", F.array().cast("array<string>"))), ",")}
+    return out.select(*quoted(keep), *[values.get(c, F.col(c)).alias(c) for c in RESULT])
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,19 +91,32 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(docs, known_digests(spark)).drop("text")
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
-    for a, b in SPELLINGS:
-        out = f"regexp_replace({out}, '\\b{a}', '{b}', 'g')"
-    return f"trim(regexp_replace(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' +', ' ', 'g'))"
+    out = f"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g'), '{MARKS}', ' ', 'g')"
+    out = f"' ' || replace({out}, chr(10), ' ' || chr(10) || ' ') || ' '"
+    for a, b in STEMS:
+        out = f"replace({out}, ' {a}', ' {b}')"
+    for a, b in WORDS:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return out
+
+
+def _line_sql(normalised: str) -> str:
+    return f"trim(regexp_replace(replace({normalised}, chr(10), ' '), ' {{2,}}', ' ', 'g'))"
 
 
 ORACLE_SQL = f"""
-WITH k AS (SELECT sha256({_sql("t")}) AS digest, min(l) AS licence FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in KNOWN)}) v(l, t) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-f AS (SELECT r, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
-      FROM (SELECT r, sha256({_sql("x")}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE x <> '') JOIN k USING (digest) GROUP BY r)
-SELECT doc_id, sha256({_sql("text")}) AS text_digest, licence AS text_licence, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
-       CAST(coalesce(n, 0) AS BIGINT) AS n_licence_lines, coalesce(licences, '') AS licences
-FROM d LEFT JOIN f USING (r) LEFT JOIN k ON digest = sha256({_sql("text")})
+WITH k AS (SELECT sha256({_line_sql("n")}) AS digest, min(l) AS licence FROM (SELECT l, {_sql("t")} AS n FROM (VALUES {", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in KNOWN)}) v(l, t)) GROUP BY 1),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_sql("coalesce(text, '')")} AS n FROM documents),
+u AS (SELECT r, 0 AS kind, trim(unnest(string_split(n, chr(10)))) AS unit FROM d UNION ALL
+      SELECT r, 1, {_line_sql("p")} FROM (SELECT r, trim(unnest(regexp_split_to_array(n, '{BREAK}')), ' ' || chr(10)) AS p FROM d) WHERE contains(p, chr(10))),
+f AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
+      FROM (SELECT r, kind, sha256(unit) AS digest FROM u WHERE unit <> '') JOIN k USING (digest) GROUP BY r)
+SELECT doc_id, sha256({_line_sql("n")}) AS text_digest, licence AS text_licence, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       CAST(coalesce(n0, 0) AS BIGINT) AS n_licence_lines, CAST(coalesce(n1, 0) AS BIGINT) AS n_licence_paragraphs, coalesce(licences, '') AS licences
+FROM d LEFT JOIN f USING (r) LEFT JOIN k ON digest = sha256({_line_sql("n")})
 """

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that ``df`` doesn't have in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name += "_"
+        taken.add(f"_{name}")
+        out.append(f"_{name}")
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns of these names, whatever is in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary
+    one; a cluster has none that all can read, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meterflow-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get()

@@ -328,12 +328,47 @@ def test_register_estimates():
 
 
 def test_licences(spark, empty):
-    rows = [(1, "MIT licence!"), (2, "Some text.\nAll rights reserved.\nReleased  under the MIT Licence\nall RIGHTS reserved"), (3, None), (4, ""), (5, "Copyright (c) 2020 X\nALL RIGHTS RESERVED"), (5, "All rights reserved.")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licences", F.lit("clash"))
-    got = sorted((r["doc_id"], r["text_licence"] or "", r["n_licence_lines"], r["licences"]) for r in licences.scan_licences(d, licences.known_digests(spark)).collect())
-    assert got == [(1, "", 0, ""), (2, "", 3, "All-Rights-Reserved,MIT"), (3, "", 0, ""), (4, "", 0, ""), (5, "All-Rights-Reserved", 1, "All-Rights-Reserved"), (5, "All-Rights-Reserved", 1, "All-Rights-Reserved")]
+    mit, bsd = (next(t for name, t in licences.KNOWN if name == n and len(t) > 500) for n in ("MIT", "BSD-3-Clause"))
+    wrapped = re.sub(r"(.{1,60})(?: |$)", r"\1\n", mit.replace("\n\n", "@@")).replace("@@", "\n\n")
+    rows = [
+        (1, "MIT licence!"), (2, "Some text.\nAll rights reserved.\nReleased  under the MIT Licence\nall RIGHTS reserved"), (3, None), (4, ""), (4, "...\n!!!"),
+        (5, "Copyright (c) 2020 X\nALL RIGHTS RESERVED"), (5, "All rights reserved."), (6, f"Copyright (c) 2020 Someone\n\n{mit.upper()}\n"), (7, "MIT Licence\n\n(c) 1999 A\n\n" + wrapped), (8, bsd),
+        (9, "A file.\n\nThis work is licensed under\nthe GNU General Public\nLicense, version 3.\n\nMore text."), (10, mit + " more"), (11, "x " * 200_000 + "\nAll rights reserved."),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"licences": F.lit("clash"), "_k1": F.lit("mine"), "a.b": F.lit("dot")})
+    out = licences.scan_licences(d, licences.known_digests(spark))
+    assert out.columns == ["doc_id", "text", "_k1", "a.b", *licences.RESULT]
+    got = sorted((r["doc_id"], r["text_licence"] or "", r["n_licence_lines"], r["n_licence_paragraphs"], r["licences"]) for r in out.collect())
+    assert got == [
+        (1, "", 0, 0, ""), (2, "", 3, 0, "All-Rights-Reserved,MIT"), (3, "", 0, 0, ""), (4, "", 0, 0, ""), (4, "", 0, 0, ""), (5, "All-Rights-Reserved", 1, 0, "All-Rights-Reserved"), (5, "All-Rights-Reserved", 1, 0, "All-Rights-Reserved"),
+        (6, "MIT", 0, 0, ""), (7, "MIT", 0, 0, ""), (8, "BSD-3-Clause", 0, 0, ""), (9, "", 0, 1, "GPL-3.0"), (10, "", 0, 0, ""), (11, "", 1, 0, "All-Rights-Reserved"),
+    ]
     assert licences.scan_licences(empty, licences.known_digests(spark)).count() == 0
-    assert licences.scan_licences(d, licences.known_digests(spark).limit(0)).where("n_licence_lines > 0").count() == 0
+    assert licences.scan_licences(d, licences.known_digests(spark).limit(0)).where("n_licence_lines > 0 OR text_licence IS NOT NULL").count() == 0
+    assert licences.known_digests(spark, [("X", "..."), ("Y", None)]).count() == 0
+
+
+def test_many_known_licences(spark, tmp_path):
+    """No number of known texts is too many; a folder of texts is a source of them."""
+    (tmp_path / "Own-1.0.txt").write_text("My own licence:\ndo what is right.")
+    folder = licences.known_folder(spark, str(tmp_path))
+    many = spark.range(30_000).select(F.concat(F.lit("L"), "id").alias("licence"), F.concat(F.lit("term "), "id").alias("text"))
+    d = spark.createDataFrame([(1, "term 29999"), (2, "my OWN license - do what is right"), (3, "a\nterm 7")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text_licence"], r["licences"]) for r in licences.scan_licences(d, licences.known_digests(spark, many.unionByName(folder))).collect()}
+    assert got == {1: ("L29999", "L29999"), 2: ("Own-1.0", "Own-1.0"), 3: (None, "L7")}
+
+
+def test_licence_queries_agree_on_texts(spark, tmp_path):
+    """The SQL finds the same on documents that are licences, which the driver's tables don't hold."""
+    rows = [(i, t if i % 3 else f"(c) 2001 X\n{t.upper()}") for i, (_, t) in enumerate(licences.KNOWN)] + [(900, None), (901, "All rights\nreserved.")]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(licences.ORACLE_SQL).df()
+    got = licences.op9_licences(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    frames = [f.map(lambda x: "" if x is None or x != x else str(x)).sort_values("doc_id", ignore_index=True) for f in (got, want)]
+    pd.testing.assert_frame_equal(*frames)
+    assert (got[got.doc_id < 900].text_licence.notna()).all()
 
 
 def test_embeddings(spark):
