@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.align import interpolate, union_timebase
+from .filters import sections
 
 
 def check_function(function: Callable) -> list[str]:
@@ -90,46 +91,6 @@ def shifted(samples: DataFrame, delta: float | Column) -> DataFrame:
     return samples.withColumn("t", F.col("t") + delta)
 
 
-def butterworth(order: int, cut: float | tuple[float, float], kind: str, rate: float) -> np.ndarray:
-    """Second-order sections (b0 b1 b2 1 a1 a2) of a digital Butterworth filter: "low", "high", "band" or "stop"; cut in the unit of ``rate``."""
-    edges = np.atleast_1d(np.asarray(cut, float)) * 2 / rate
-    if not ((0 < edges) & (edges < 1)).all():
-        raise ValueError("cut-off must lie between zero and half the rate")
-    warped = 4 * np.tan(np.pi * edges / 2)
-    k = np.arange(-order + 1, order, 2)
-    poles, zeros, gain = -np.exp(1j * np.pi * k / (2 * order)), np.zeros(0, complex), 1.0
-    if kind == "low":
-        poles, gain = poles * warped[0], warped[0] ** order
-    elif kind == "high":
-        gain = float(np.real(1 / np.prod(-poles)))
-        poles, zeros = warped[0] / poles, np.zeros(order, complex)
-    else:
-        width, centre = warped[1] - warped[0], np.sqrt(warped[0] * warped[1])
-        if kind == "band":
-            half = poles * width / 2
-            zeros, gain = np.zeros(order, complex), width**order
-        else:
-            gain = float(np.real(1 / np.prod(-poles)))
-            half = width / 2 / poles
-            zeros = np.concatenate((np.full(order, 1j * centre), np.full(order, -1j * centre)))
-        root = np.sqrt(half**2 - centre**2)
-        poles = np.concatenate((half + root, half - root))
-    gain *= float(np.real(np.prod(4 - zeros) / np.prod(4 - poles)))
-    z, p = (4 + zeros) / (4 - zeros), (4 + poles) / (4 - poles)
-    z = np.concatenate((z, -np.ones(len(p) - len(z))))
-
-    def pairs(x):
-        up = sorted((v for v in x if v.imag > 1e-12), key=lambda v: -abs(v))
-        real = sorted((v.real for v in x if abs(v.imag) <= 1e-12), key=abs, reverse=True)
-        out = [np.real(np.poly([v, v.conjugate()])) for v in up]
-        return out + [np.poly(real[i : i + 2]) for i in range(0, len(real), 2)]
-
-    a, b = pairs(p), pairs(z)
-    sections = [np.concatenate((np.pad(y, (0, 3 - len(y))), np.pad(x, (0, 3 - len(x))))) for x, y in zip(a, b)]
-    sections[0][:3] *= gain
-    return np.array(sections)
-
-
 def run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The filter's recurrence, section by section."""
     y = np.asarray(x, float)
@@ -143,11 +104,11 @@ def run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y
 
 
-def filtered(samples: DataFrame, keys: list[str], kind: str, cut: float | tuple[float, float], order: int = 3, rate: float | None = None, per_second: float = 1_000_000) -> DataFrame:
-    """Channels through a Butterworth filter; the rate is one over the median interval unless given."""
+def filtered(samples: DataFrame, keys: list[str], kind: str, cut: float | tuple[float, float], order: int = 3, rate: float | None = None, per_second: float = 1_000_000, family: str = "butterworth", ripple: float = 1.0, attenuation: float = 40.0) -> DataFrame:
+    """Channels through a filter of a family of :mod:`.filters`; the rate is one over the median interval unless given."""
 
     def smooth(v=0, t=0):
         each = rate or per_second / float(np.median(np.diff(t))) if len(t) > 1 else 1.0
-        return run_sections(butterworth(order, cut, kind, each), v) if len(t) > 1 else np.asarray(v, float)
+        return run_sections(sections(order, cut, kind, each, family, ripple, attenuation), v) if len(t) > 1 else np.asarray(v, float)
 
     return per_channel(samples, keys, smooth)

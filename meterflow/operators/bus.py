@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..model import DAY
 
 #: Error types of CAN error frames.
+#: Greatest valid raw value of a J1939 field of so many bits.
+MAX_VALID = {4: 0xA, 8: 0xFA, 10: 0x3FA, 12: 0xFAF, 16: 0xFAFF, 20: 0xFAFFF, 24: 0xFAFFFF, 28: 0xFAFFFFF, 32: 0xFAFFFFFF, 64: 0xFFFFFFFFFFFFFFFF}
+#: Kinds of frames in a FlexRay trace.
+FLEXRAY_EVENTS = {0: "FlexRay Frame", 1: "FlexRay NullFrame", 2: "FlexRay StartCycle", 3: "FlexRay Status"}
 CAN_ERRORS = {0: "UNKNOWN", 1: "BIT ERROR", 2: "FORM ERROR", 3: "BIT STUFFING ERROR", 4: "CRC ERROR", 5: "ACK ERROR"}
 
 
@@ -44,7 +48,7 @@ def two_complement(raw: Column, size: Column) -> Column:
 
 
 def ieee(raw: Column, size: Column) -> Column:
-    """The float whose bits are ``raw``: 32 or 64 of them."""
+    """The float whose bits are ``raw``: 16, 32 or 64 of them."""
     def value(exponent_bits: int, mantissa_bits: int) -> Column:
         bias = (1 << (exponent_bits - 1)) - 1
         sign = F.when(F.call_function("shiftrightunsigned", raw, F.lit(exponent_bits + mantissa_bits)).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
@@ -54,7 +58,7 @@ def ieee(raw: Column, size: Column) -> Column:
         special = F.when(mantissa == 0, sign * float("inf")).otherwise(F.lit(float("nan")))
         return F.when(exponent == full, special).when(exponent == 0, sign * mantissa * F.pow(F.lit(2.0), F.lit(1 - bias))).otherwise(sign * (mantissa + 1) * F.pow(F.lit(2.0), exponent - bias))
 
-    return F.when(size == 64, value(11, 52)).otherwise(value(8, 23))
+    return F.when(size == 64, value(11, 52)).when(size == 16, value(5, 10)).otherwise(value(8, 23))
 
 
 def padded(payload: Column, size: Column) -> Column:
@@ -62,9 +66,20 @@ def padded(payload: Column, size: Column) -> Column:
     return F.unhex(F.rpad(F.hex(payload), F.greatest(size * 2, F.length(F.hex(payload))), "F"))
 
 
+def defined_bits(bits: Column) -> Column:
+    """The width that J1939 defines for a field of ``bits``: the next one that isn't smaller."""
+    out = bits
+    for width in sorted(MAX_VALID, reverse=True):
+        out = F.when(bits <= width, width).otherwise(out)
+    return out
+
+
 def max_valid(bits: Column) -> Column:
-    """Greatest valid raw value of a J1939 signal by its width (2 bits, 4 bits, bytes): above it, "error" and "not available"."""
-    return F.when(bits == 2, 1).when(bits == 4, 13).when(bits == 8, 250).when(bits == 16, 0xFAFF).when(bits == 32, 0xFAFFFFFF).otherwise(F.pow(F.lit(2.0), bits).cast("long") - 1).cast("long")
+    """Greatest valid raw value of a J1939 signal by its defined width: above it, "error" and "not available". 64 bits are all valid."""
+    out = F.lit((1 << 63) - 1)
+    for width, most in sorted(MAX_VALID.items(), reverse=True):
+        out = F.when(bits <= width, F.lit(min(most, (1 << 63) - 1))).otherwise(out)
+    return out.cast("long")
 
 
 def decode(frames: DataFrame, signals: DataFrame, depth: int = 1) -> DataFrame:
@@ -89,7 +104,7 @@ def decode(frames: DataFrame, signals: DataFrame, depth: int = 1) -> DataFrame:
     out = joined.withColumn("raw", F.when(F.col("is_signed"), two_complement(raw, F.col("size"))).otherwise(raw))
     number = F.when(F.col("is_float"), ieee(F.col("raw"), F.col("size"))).otherwise(F.col("raw").cast("double"))
     invalid = F.coalesce(F.col("j1939"), F.lit(False)) & (F.col("raw") > max_valid(F.col("size")))
-    return out.select("bus", "message", "signal", "t", "raw", (number * F.col("factor") + F.col("offset")).alias("v"), invalid.alias("invalid"))
+    return out.select("bus", "id", "message", "signal", "t", "raw", (number * F.col("factor") + F.col("offset")).alias("v"), invalid.alias("invalid"))
 
 
 def without_dead_channels(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,9 +113,32 @@ def without_dead_channels(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.join(dead, keys, "left_anti")
 
 
-def aliases(samples: DataFrame) -> DataFrame:
-    """The names that a decoded signal goes by: Signal, Message.Signal, BUSn.Message.Signal."""
-    return samples.withColumn("names", F.array("signal", F.concat_ws(".", "message", "signal"), F.concat_ws(".", "bus", "message", "signal")))
+def beyond_payload(signals: DataFrame) -> DataFrame:
+    """Definitions of fields that reach beyond their message's size, for which payloads hold no data."""
+    last = F.when(F.col("little_endian"), F.col("start_bit") + F.col("size")).otherwise((F.floor(F.col("start_bit") / 8) + F.ceil((7 - F.pmod("start_bit", F.lit(8)) + F.col("size")) / 8)) * 8)
+    return signals.where(last > F.col("message_size") * 8)
+
+
+def labelled(samples: DataFrame, values: DataFrame) -> DataFrame:
+    """Decoded samples with ``label``, the text that ``values(message_id, signal, value, label)`` has for the raw value. Other samples keep their linear value alone."""
+    texts = values.select(F.col("message_id").alias("id"), "signal", F.col("value").alias("raw"), "label")
+    return samples.join(texts, ["id", "signal", "raw"], "left")
+
+
+def scaled(samples: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Decoded samples with ``v`` by ranges of raw values, ``ranges(message_id, signal, low, high, factor, offset)``, both ends included; outside them as it is.
+
+    The ranges of a signal are gathered into one array, of as many entries as a database has for it."""
+    each = ranges.groupBy(F.col("message_id").alias("id"), "signal").agg(F.array_sort(F.collect_list(F.struct("low", "high", "factor", "offset"))).alias("_r"))
+    fit = F.get(F.filter("_r", lambda r: F.col("raw").between(r["low"], r["high"])), F.lit(0))
+    return samples.join(each, ["id", "signal"], "left").withColumn("v", F.coalesce(F.col("raw") * fit["factor"] + fit["offset"], "v")).drop("_r")
+
+
+def aliases(samples: DataFrame, prefix: str = "") -> DataFrame:
+    """The names that a decoded signal goes by: Signal, Message.Signal, BUSn.Message.Signal, and CAN_DataFrame_<id> in the message's place."""
+    frame = F.concat(F.lit("CAN_DataFrame_"), F.col("id").cast("string"))
+    parts = [["signal"], ["message", "signal"], ["bus", "message", "signal"], [frame, "signal"], ["bus", frame, "signal"]]
+    return samples.withColumn("names", F.array(*[F.concat(F.lit(prefix), F.concat_ws(".", *p)) for p in parts]))
 
 
 def bus_signal(samples: DataFrame, name: str) -> DataFrame:
@@ -148,6 +186,14 @@ def lin_trace(frames: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("t", "bus", "id", F.coalesce("message", F.lit("")).alias("message"), F.coalesce("error_kind", F.lit("LIN Frame")).alias("event"), F.length("payload").alias("dlc"), F.regexp_replace(F.hex("payload"), "(..)(?!$)", "$1 ").alias("data"))
 
 
+def flexray_trace(frames: DataFrame, names: DataFrame) -> DataFrame:
+    """A FlexRay trace: slot, cycle, channel, name of the frame where it is known, kind of event, size and data."""
+    named = frames.join(names.select(F.col("message_id").alias("id"), "message"), "id", "left")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in FLEXRAY_EVENTS.items() for x in p]), F.col("event_type")), F.lit(FLEXRAY_EVENTS[0]))
+    data = F.regexp_replace(F.hex(F.coalesce("payload", F.unhex(F.lit("")))), "(..)(?!$)", "$1 ")
+    return named.select("t", "bus", "id", "cycle", F.when(F.col("channel") == 1, "B").otherwise("A").alias("channel"), F.coalesce("message", F.lit("")).alias("message"), kind.alias("event"), F.coalesce(F.length("payload"), F.lit(0)).alias("dlc"), data.alias("data"))
+
+
 def id_summary(frames: DataFrame, names: DataFrame) -> DataFrame:
     """Per bus: how many different ids there are, and how many of them have a definition or not."""
     ids = frames.select("bus", "id").distinct().join(names.select(F.col("message_id").alias("id"), F.lit(1).alias("_k")).distinct(), "id", "left")

@@ -62,15 +62,55 @@ def same_structure(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
-def stack(frames: list[tuple[DataFrame, int]], group: str = "group_index") -> DataFrame:
-    """Groups side by side: each frame's group numbers follow those of the frames before it (given its number of groups)."""
+def stack(frames: list[tuple[DataFrame, int]], group: str = "group_index", starts: list | None = None) -> DataFrame:
+    """Groups side by side: each frame's group numbers follow those of the frames before it (given its number of groups).
+    With ``starts``, when each recording began in the unit of t, all stamps count from the earliest of them."""
     out, base = None, 0
-    for df, groups in frames:
+    for k, (df, groups) in enumerate(frames):
         moved = df.withColumn(group, F.col(group) + base)
+        moved = moved.withColumn("t", F.col("t") + F.lit(starts[k] - min(starts))) if starts else moved
         out, base = moved if out is None else out.unionByName(moved), base + groups
     return out
 
 
+def append_group(catalogue: DataFrame, samples: DataFrame, channels: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A new channel group behind the ones there are: ``channels(channel_index, name, …)`` and their ``values``. One small job finds its number."""
+    number = catalogue.agg(F.coalesce(F.max("group_index") + 1, F.lit(0))).first()[0]
+    own = lambda df: df.withColumn("group_index", F.lit(number).cast(catalogue.schema["group_index"].dataType))
+    return catalogue.unionByName(own(channels), allowMissingColumns=True), samples.unionByName(own(values), allowMissingColumns=True)
+
+
+def append_records(samples: DataFrame, more: DataFrame, keys: list[str] = ["group_index", "channel_index"]) -> DataFrame:
+    """Further records of channels that are there: their ordinals follow the last ones, their stamps stay."""
+    last = samples.groupBy(*keys).agg((F.max("ordinal") + 1).alias("_next"))
+    moved = more.join(last, keys, "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("_next", F.lit(0))).drop("_next")
+    return samples.unionByName(moved)
+
+
+def converted(measurement: DataFrame, version: str, versions: tuple[str, ...] = ("2.00", "2.10", "2.14", "3.00", "3.10", "3.20", "3.30", "4.00", "4.10", "4.11", "4.20", "4.30")) -> DataFrame:
+    """A measurement's row in another version of the format; its samples stay as they are. An unknown version is an error."""
+    if version not in versions:
+        raise ValueError(f"unknown version {version!r}")
+    return measurement.withColumn("version", F.lit(version))
+
+
+def scatter(frames: list[DataFrame], t: str = "t") -> DataFrame:
+    """Rows of several frames with their own columns, in order of time; equal stamps keep all their rows, in the frames' order."""
+    out = None
+    for k, df in enumerate(frames):
+        df = df.withColumn("source_index", F.lit(k))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.orderBy(t, "source_index")
+
+
+def attach(attachments: DataFrame, more: DataFrame) -> DataFrame:
+    """Attachments with further ones (file_name, mime, comment, data), which are numbered on and carry their size and digest."""
+    n = attachments.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
+    w = Window.orderBy("file_name")
+    new = more.withColumns({"index": F.row_number().over(w) - 1 + F.lit(n), "size": F.length("data"), "md5": F.md5("data")})
+    return attachments.unionByName(new.select(*attachments.columns))
+
+
 def extend(first: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``other`` after ``first``, per key: shifted by the last stamp where it starts at or before it."""
     last = first.groupBy(*keys).agg(F.max("t").alias("_last"))

@@ -31,6 +31,19 @@ def raster(spans: DataFrame, keys: list[str], step: float, endpoint: bool = Fals
     return out.unionByName(rows.where("NOT _even AND _i = 0").select(*keys, F.col("hi").alias("t"))) if endpoint else out
 
 
+def raster_of_ratio(spans: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """(keys, t): the older raster of a single channel. A span that is a whole number of steps, by a ratio of single precision, gives
+    that many evenly spaced stamps with both ends, one fewer than :func:`raster`; otherwise lo + i * step below hi."""
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    ratio = ((hi - lo) / step).cast("float")
+    even = ratio == F.floor(ratio)
+    n = F.when(even, ratio.cast("long")).otherwise(F.ceil((hi - lo) / step).cast("long"))
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))))
+    rows = spans.where(n > 0).select(*keys, lo.alias("lo"), hi.alias("hi"), even.alias("_even"), n.alias("_n"), i.alias("_i"))
+    each = F.when(F.col("_even"), F.coalesce(F.try_divide(F.col("hi") - F.col("lo"), F.col("_n") - 1), F.lit(0.0))).otherwise(F.lit(step))
+    return rows.select(*keys, F.when(F.col("_even") & (F.col("_i") == F.col("_n") - 1) & (F.col("_n") > 1), F.col("hi")).otherwise(F.col("lo") + F.col("_i") * each).alias("t"))
+
+
 def spans(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, lo, hi): each channel's first and last stamp."""
     return samples.groupBy(*keys).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))

@@ -34,6 +34,60 @@ def select(samples: DataFrame, catalogue: DataFrame, wanted: DataFrame, keys: li
     return samples.join(chosen.select(*keys, "position", F.coalesce("requested", "own_name").alias("name")), keys)
 
 
+def raw_or_physical(samples: DataFrame, raw: bool | dict[str, bool], name: str = "name") -> DataFrame:
+    """``v`` from the columns ``raw`` and ``physical``: raw values for all channels, or for those that a mapping says; its
+    entry "__default__" holds for all others and must be there."""
+    if isinstance(raw, dict):
+        if "__default__" not in raw:
+            raise ValueError("the mapping of raw channels needs an entry __default__")
+        chosen = [k for k, v in raw.items() if k != "__default__" and v != raw["__default__"]]
+        test = F.col(name).isin(chosen) if chosen else F.lit(False)
+        test = ~test if raw["__default__"] else test
+    else:
+        test = F.lit(raw)
+    return samples.withColumn("v", F.when(test, F.col("raw").cast(samples.schema["physical"].dataType)).otherwise(F.col("physical")))
+
+
+def get(samples: DataFrame, catalogue: DataFrame, name: str | None = None, group: int | None = None, index: int | None = None, first: bool = False, raw: bool = False, raster: float | None = None, offset: int = 0, count: int | None = None) -> DataFrame:
+    """(ordinal, t, v) of one channel of ``samples(group_index, channel_index, ordinal, t, raw, physical)``: a slice of its records, raw or physical; with
+    ``raster`` (t, v) on evenly spaced stamps over the slice. A small job finds the channel, with ``raster`` two more its span and bucket."""
+    from .resample import resample
+
+    g, c = resolve(catalogue, name, group, index, first)
+    one = record_slice(samples.where((F.col("group_index") == g) & (F.col("channel_index") == c)), offset, count)
+    one = raw_or_physical(one, raw).select("ordinal", "t", "v")
+    return one if raster is None else resample(one.withColumnsRenamed({"ordinal": "ord"}), [], raster)
+
+
+def information(catalogue: DataFrame, samples: DataFrame) -> DataFrame:
+    """A row for each channel group: its channels in order, how many there are, records and span of its master."""
+    channels = catalogue.groupBy("group_index").agg(F.array_sort(F.collect_list(F.struct("channel_index", "name"))).alias("channels"), F.count(F.lit(1)).alias("n_channels"))
+    spans = samples.groupBy("group_index").agg((F.max("ordinal") + 1).alias("n_records"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return channels.join(spans, "group_index", "left").withColumn("channels", F.col("channels.name"))
+
+
+def triggers(events: DataFrame) -> DataFrame:
+    """Triggers of each group, numbered in order of time: when, and the times before and after that were recorded for them."""
+    w = Window.partitionBy("group_index").orderBy("t")
+    return events.select("group_index", (F.row_number().over(w) - 1).alias("index"), "t", F.coalesce("pre_time", F.lit(0.0)).alias("pre_time"), F.coalesce("post_time", F.lit(0.0)).alias("post_time"))
+
+
+def with_missing(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """``frame`` with the columns asked for, in their order after its own; those that it lacks are NaN."""
+    return frame.withColumns({c: F.lit(float("nan")) for c in columns if c not in frame.columns}) if set(columns) - set(frame.columns) else frame
+
+
+def stable_order(frame: DataFrame, column: str, ascending: bool = True, index: str = "ordinal") -> DataFrame:
+    """Rows by a column, nulls last, those of equal values in order of ``index``."""
+    c = F.col(f"`{column}`")
+    return frame.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), index)
+
+
+def longest_value(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Per channel the greatest size in bytes of its variable-length values, over all files."""
+    return samples.groupBy(*keys).agg(F.max(F.octet_length("v")).alias("size"))
+
+
 def keep_channels(samples: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Samples of the channels in ``wanted``; none is doubled."""
     return samples.join(wanted.select(*keys), keys, "left_semi")
@@ -91,7 +145,8 @@ def condition(column: str, op: str, target) -> Column:
     if isinstance(target, float) and target != target:
         return F.isnan(c) if op == "==" else ~F.isnan(c) if op == "!=" else F.lit(False)
     out = COMPARE[op](c, F.lit(target))
-    return out & ~F.isnan(c) if isinstance(target, float) and op in (">", ">=") else out
+    number = isinstance(target, (int, float)) and not isinstance(target, bool)
+    return out & ~F.isnan(c) if number and op in (">", ">=", "==") else out
 
 
 def filter_rows(df: DataFrame, conditions: list[tuple[str, str, str, object]]) -> DataFrame:
@@ -126,8 +181,10 @@ def first_range(value: Column, ranges: list[tuple]) -> Column:
     return out
 
 
-def next_match(samples: DataFrame, channel: str, after: float, test: Column, forward: bool = True) -> DataFrame:
-    """(t, channel) of the earliest sample after a stamp (the latest before it, if not ``forward``) that passes; one row, null if none."""
+def next_match(samples: DataFrame, channel: str, after: float, test: Column, forward: bool = True, digits: int | None = None) -> DataFrame:
+    """(t, channel) of the earliest sample after a stamp (the latest before it, if not ``forward``) that passes; one row, null if none.
+    With ``digits`` stamps are rounded first, so that those a rounding apart from the start don't count as later."""
+    samples, after = (samples.withColumn("t", F.round("t", digits)), round(after, digits)) if digits is not None else (samples, after)
     some = samples.where(test & (F.col("t") > after if forward else F.col("t") < after))
     return some.agg((F.min("t") if forward else F.max("t")).alias("t"), (F.min_by if forward else F.max_by)(channel, "t").alias(channel))
 
@@ -157,7 +214,11 @@ def sort_by_value(df: DataFrame, number: str, text: str, name: str) -> DataFrame
     return df.orderBy(F.when(F.col(number).isNotNull(), 0).when(F.col(text).isNotNull(), 1).otherwise(2), number, text, natural_key(name))
 
 
-def with_edges(keys: list[str], flag: str, order: str = "ord") -> Column:
-    """Rows where a flag holds, and their neighbours."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return F.col(flag) | F.coalesce(F.lag(flag).over(w), F.lit(False)) | F.coalesce(F.lead(flag).over(w), F.lit(False))
+def with_edges(samples: DataFrame, keys: list[str], flag: str, order: str = "ord", bucket: int = 1_000_000) -> DataFrame:
+    """Rows where a flag holds, and their neighbours, by buckets of a dense ``order``: a bucket's edge rows are sent to the buckets beside it."""
+    by = samples.withColumns({"_b": F.floor(F.col(order) / bucket), "_own": F.lit(True)})
+    edges = by.where(F.pmod(F.col(order), F.lit(bucket)).isin(0, bucket - 1))
+    copies = edges.withColumns({"_b": F.when(F.pmod(F.col(order), F.lit(bucket)) == 0, F.col("_b") - 1).otherwise(F.col("_b") + 1), "_own": F.lit(False)})
+    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    near = F.coalesce(F.lag(flag).over(w), F.lit(False)) | F.coalesce(F.lead(flag).over(w), F.lit(False))
+    return by.unionByName(copies).withColumn("_near", near).where(F.col("_own") & (F.col(flag) | F.col("_near"))).drop("_b", "_own", "_near")

@@ -112,7 +112,7 @@ def scalar_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARITH = {"add": "x + y", "sub": "x - y", "mul": "x * y", "div": "CASE WHEN y = 0 THEN CASE WHEN x = 0 THEN 'nan'::DOUBLE WHEN x > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE x / y END", "floordiv": "floor(x / nullif(y, 0))", "mod": "x - y * floor(x / nullif(y, 0))"}
-COMPARED = {"lt": "x < y", "ge": "x >= y", "eq": "x = y", "ne": "x <> y"}
+COMPARED = {"lt": "x < y", "le": "x <= y", "gt": "x > y", "ge": "x >= y", "eq": "x = y", "ne": "x <> y"}
 
 
 def _arith_sql(expression: str, rounded: bool) -> str:

@@ -330,7 +330,7 @@ def isotp_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j1939_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select("p_partkey", (F.col("p_partkey") % 256 > bus.max_valid(F.lit(8))).alias("byte_invalid"), (F.col("p_partkey") % 4 > bus.max_valid(F.lit(2))).alias("pair_invalid"))
+    return p.select("p_partkey", (F.col("p_partkey") % 256 > bus.max_valid(F.lit(8))).alias("byte_invalid"), (F.col("p_partkey") % 16 > bus.max_valid(F.lit(3))).alias("nibble_invalid"), (F.col("p_partkey") * 7 % 4096 > bus.max_valid(F.lit(11))).alias("twelve_invalid"), bus.defined_bits(F.col("p_partkey") % 40).cast("long").alias("width"))
 
 
 def computed_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +444,7 @@ UNION ALL SELECT bus, t, 'Brake', 'flag', ord & 255, CAST(ord & 255 AS DOUBLE),
     "bus_signal": _FR + " SELECT t, ord AS raw FROM f WHERE id = 1 AND bus = 'CAN1'",
     "bus_id_summary": _FR + " SELECT bus, count(DISTINCT id) AS ids, count(DISTINCT id) FILTER (id IN (1, 2, 3)) AS known, count(DISTINCT id) FILTER (id NOT IN (1, 2, 3)) AS unknown FROM f GROUP BY bus",
     "isotp_merge": "SELECT o_orderkey % 3 AS id, o_orderkey * 1000000 + 2 AS t, 20 AS size, substr(rpad(hex(encode(o_orderkey || '-' || o_orderpriority)), 40, '2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E2E'), 1, 40) AS payload FROM orders WHERE o_orderkey % 5 <> 0",
-    "j1939_invalid": "SELECT p_partkey, p_partkey % 256 > 250 AS byte_invalid, p_partkey % 4 > 1 AS pair_invalid FROM part",
+    "j1939_invalid": "SELECT p_partkey, p_partkey % 256 > 250 AS byte_invalid, p_partkey % 16 > 10 AS nibble_invalid, p_partkey * 7 % 4096 > 4015 AS twelve_invalid, (SELECT min(w) FROM (VALUES (4), (8), (10), (12), (16), (20), (24), (28), (32), (64)) x(w) WHERE w >= p_partkey % 40)::BIGINT AS width FROM part",
     "computed_channel": f"WITH {S}, q AS (SELECT * FROM s WHERE channel = 'view'), p AS (SELECT DISTINCT user_id, t FROM s WHERE channel = 'click'), n AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JOIN q b ON p.user_id = b.user_id AND p.t >= b.t ASOF LEFT JOIN q a ON p.user_id = a.user_id AND p.t < a.t), y AS (SELECT n.user_id, n.t, s.v AS a, {LINEAR.replace(' t ', ' n.t ').replace('= t', '= n.t').replace('(t AS', '(n.t AS')} AS b FROM n JOIN s ON s.user_id = n.user_id AND s.t = n.t AND channel = 'click') SELECT user_id, t, round(CASE WHEN a >= 5 THEN a / nullif(b, 0) END, 6) AS v FROM y",
     "computed_whole": f"WITH {S}, d AS (SELECT user_id, t, v - lag(v) OVER (PARTITION BY user_id ORDER BY t) AS d FROM s WHERE channel = 'click') SELECT user_id, t, round(d, 6) AS v FROM d WHERE d IS NOT NULL",
     "time_shift": f"WITH {S} SELECT ord AS event_id, t + CASE WHEN channel = 'click' THEN 1500 ELSE -250 END AS t FROM s",

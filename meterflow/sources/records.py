@@ -30,12 +30,12 @@ class Field:
 def records(spark: SparkSession, path: str, size: int, header: int = 0) -> DataFrame:
     """(path, ordinal, record): the records of binary files, ``size`` bytes each after ``header`` bytes.
 
-    Files are dealt to tasks by Spark and cut into records by position; a file larger than a task's memory should be
-    recorded in pieces, as loggers do."""
+    Files are dealt to tasks by Spark and cut into records by position before they are exploded, so no record carries its file. A file
+    larger than a task's memory should be recorded in pieces, as loggers do."""
     files = spark.read.format("binaryFile").load(path)
     n = F.floor((F.col("length") - header) / size)
-    rows = files.where(n > 0).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("ordinal"))
-    return rows.select("path", "ordinal", F.substring("content", (F.col("ordinal") * size + header + 1).cast("int"), F.lit(size)).alias("record"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(F.col("content"), (i * size + header + 1).cast("int"), F.lit(size)))
+    return files.where(n > 0).select("path", F.posexplode(cut).alias("ordinal", "record")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 def value(record: Column, f: Field) -> Column:

@@ -38,14 +38,37 @@ def to_csv_by_group(samples: DataFrame, path: str, group: str = "group_index", *
     samples.write.partitionBy(group).options(header=True, **options).csv(path)
 
 
+def export(frame: DataFrame, fmt: str, path: str, **options) -> None:
+    """``frame`` in a format: "parquet", "csv", "csv_by_group", "asc" or "table" (Parquet with all its columns)."""
+    if fmt == "table":
+        frame.write.options(**options).parquet(path)
+        return
+    writers = {"parquet": to_parquet, "csv": to_csv, "csv_by_group": to_csv_by_group, "asc": to_asc}
+    if fmt not in writers:
+        raise ValueError(f"unknown format {fmt!r}: one of {[*writers, 'table']}")
+    writers[fmt](frame, path, **options)
+
+
+def flexray_lines(frames: DataFrame) -> DataFrame:
+    """(t, value): a line of an ASC log for each FlexRay frame of :func:`~meterflow.operators.bus.flexray_trace`'s input."""
+    data = F.regexp_replace(F.hex("payload"), "(..)(?!$)", "$1 ")
+    name = F.when(F.col("channel") == 1, "B").otherwise("A")
+    line = F.format_string("%12.6f Fr RMSG 0 0 %d %s %d %s", F.col("t"), F.col("id").cast("long"), name, F.length("payload"), data)
+    return frames.where("payload IS NOT NULL").select("t", line.alias("value"))
+
+
 def asc_lines(frames: DataFrame) -> DataFrame:
-    """(t, value): a line of a Vector ASC log for each frame (t in seconds)."""
+    """(t, value): a line of a Vector ASC log for each frame (t in seconds); frames may be flagged is_tx, is_extended, is_fd, is_remote or is_error."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in frames.columns else F.lit(False)
     data = F.regexp_replace(F.hex("payload"), "(..)(?!$)", "$1 ")
-    direction = F.when(F.coalesce("is_tx", F.lit(False)), "Tx").otherwise("Rx")
-    ident = F.concat(F.hex("id"), F.when(F.coalesce("is_extended", F.lit(False)), "x").otherwise(""))
-    line = F.format_string("%12.6f %-2s %-16s%s   d %d %s", F.col("t"), F.col("bus"), ident, direction, F.length("payload"), data)
-    error = F.format_string("%12.6f %-2s ErrorFrame", F.col("t"), F.col("bus"))
-    return frames.select("t", F.when(F.coalesce("is_error", F.lit(False)), error).otherwise(line).alias("value"))
+    direction = F.when(flag("is_tx"), "Tx").otherwise("Rx")
+    ident = F.concat(F.hex("id"), F.when(flag("is_extended"), "x").otherwise(""))
+    start = F.format_string("%12.6f", F.col("t"))
+    line = F.format_string("%s %-2s %-16s%s   d %d %s", start, F.col("bus"), ident, direction, F.length("payload"), data)
+    error = F.format_string("%s %-2s ErrorFrame", start, F.col("bus"))
+    remote = F.format_string("%s %-2s %-16s%s   r", start, F.col("bus"), ident, direction)
+    fd = F.format_string("%s CANFD %-2s %s %-16s 1 0 %d %s", start, F.col("bus"), direction, ident, F.length("payload"), data)
+    return frames.select("t", F.when(flag("is_error"), error).when(flag("is_remote"), remote).when(flag("is_fd"), fd).otherwise(line).alias("value"))
 
 
 def to_asc(frames: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterflow.functions import convert as cv
-from meterflow.functions import scalar, userfn
+from meterflow.functions import computed, filters, scalar, userfn
 from meterflow.model import Options
 from meterflow.operators import align, bus, cut, frame, merge, resample, select, stats
 from meterflow.sources import dbc, records, sinks
@@ -254,9 +254,100 @@ def test_functions_of_the_user(spark):
     assert by_time(userfn.per_channel(f, ["k"], pairs), "t", "v") == [(float(i), 2.0 * i - 1) for i in range(1, 6)]
 
 
+def test_nan_compares_as_in_numpy(spark):
+    nan = float("nan")
+    values = [1.0, nan, 5.0]
+    rows = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in values for y in values)]
+    df = spark.createDataFrame(rows, "i int, x double, y double")
+    for name, f in {"lt": np.less, "le": np.less_equal, "gt": np.greater, "ge": np.greater_equal, "eq": np.equal, "ne": np.not_equal}.items():
+        got = {r["i"]: r["v"] for r in df.select("i", align.OPERATORS[name](F.col("x"), F.col("y")).alias("v")).collect()}
+        assert got == {i: bool(f(x, y)) for i, x, y in rows}
+    for op, f in {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "==": np.equal, "!=": np.not_equal}.items():
+        for target in (3, 5, 5.0):
+            got = [r["x"] for r in df.where("i % 3 = 0").where(select.condition("x", op, target)).collect()]
+            assert len(got) == sum(bool(f(x, target)) for x in values)
+
+
+def test_many_samples_in_one_bucket(spark):
+    """Neighbours are found in one pass: a hundred thousand samples and probes in a single bucket take seconds."""
+    s = spark.range(100_000).select(F.lit("a").alias("channel"), (F.col("id") * 10.0).alias("t"), F.col("id").alias("ord"), F.col("id").cast("double").alias("v"))
+    p = spark.range(100_000).select(F.lit("a").alias("channel"), (F.col("id") * 10.0 + 5).alias("t"))
+    out = align.interpolate(s, p, ["channel"], bucket=1e9)
+    assert out.where("abs(v - (t / 10)) > 1e-6 AND t < 999990").count() == 0
+    both = align.combine(s, s.withColumn("t", F.col("t") + 5), ["channel"], "sub", bucket=1e9)
+    assert both.where("abs(v - 0.5) > 1e-6").count() == 0 and both.count() == 199_998
+
+
+def test_bucket_width(spark):
+    s = samples(spark, [("a", i, float(i), 0.0) for i in range(100)] + [("b", i, i / 100, 0.0) for i in range(300)])
+    width = align.bucket_width(s, ["channel"], rows=50)
+    assert s.groupBy("channel", F.floor(F.col("t") / width)).count().agg(F.max("count")).first()[0] <= 60
+    assert align.bucket_width(s.limit(0), ["channel"]) == 1.0
+
+
+def test_wide_over_bucket_edges(spark):
+    s = samples(spark, [("a", 0, 0.0, 1.0), ("a", 1, 10.0, 2.0), ("b", 2, 4.0, 5.0), ("b", 3, 25.0, 6.0)])
+    for bucket in (3.0, 1000.0):
+        got = [tuple(r) for r in frame.wide(s, [], "channel", ["a", "b"], linear=True, bucket=bucket).orderBy("t").collect()]
+        assert got == [(0.0, 1.0, 5.0), (4.0, 1.4, 5.0), (10.0, 2.0, 5 + 6 / 21), (25.0, 2.0, 6.0)]
+        null = [tuple(r) for r in frame.wide(s, [], "channel", ["a", "b"], outside_null=True, bucket=bucket).orderBy("t").collect()]
+        assert null == [(0.0, 1.0, None), (4.0, 1.0, 5.0), (10.0, 2.0, 5.0), (25.0, None, 6.0)]
+
+
+def response(sections, f, rate):
+    z = np.exp(-2j * np.pi * f / rate)
+    return abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, _, a1, a2 in sections], axis=0))
+
+
+@pytest.mark.parametrize("family", ["chebyshev1", "chebyshev2", "elliptic"])
+@pytest.mark.parametrize("order", [2, 3, 5])
+@pytest.mark.parametrize("kind,cut_at", [("low", 10.0), ("high", 10.0), ("band", (8.0, 15.0)), ("stop", (8.0, 15.0))])
+def test_filters_keep_their_bounds(family, order, kind, cut_at):
+    """Ripple in the pass band and attenuation in the stop band are met, and reached."""
+    f = np.linspace(0.05, 49.95, 4000)
+    gain = 20 * np.log10(np.maximum(response(filters.sections(order, cut_at, kind, 100.0, family, 1.0, 40.0), f, 100.0), 1e-12))
+    inside = {"low": f < 10, "high": f > 10, "band": (f > 8) & (f < 15), "stop": (f < 8) | (f > 15)}[kind]
+    assert gain.max() < 1e-6
+    if family != "chebyshev2":
+        assert -1.0001 <= gain[inside].min() < -0.9
+    else:
+        assert -40.3 < gain[~inside].max() < -39.9
+    if family == "elliptic" and order == 5:
+        assert (gain[~inside] < -39.9).mean() > 0.4
+
+
+def test_descriptions():
+    nested = {"computed": True, "computation": {"type": "arithmetic", "op": "+", "operand1": "a", "operand2": {"computed": True, "computation": {"type": "expression", "expression": "{{b}} * {{c}}"}}}}
+    user = {"computed": True, "computation": {"type": "python_function", "args": {"x": ["d", "e"], "y": [""]}, "triggering": "triggering_on_channel", "triggering_value": "f"}}
+    assert computed.required(nested) == ["a", "b", "c"] and computed.required(user) == ["d", "e", "f"] and computed.required({"computed": False}) == []
+    assert computed.variables("a = 3\nb = [1, 2]\nc = a") == {"a": 3, "b": [1, 2], "c": 3}
+    for text in ("import os", "a = open('x')", "a += 1"):
+        with pytest.raises(ValueError):
+            computed.variables(text)
+    assert computed.modes(lambda a=1, t=0: a + t) == {"per_sample": True, "per_channel": True}
+    assert computed.modes(lambda a=1, t=0: np.diff(a)) == {"per_sample": False, "per_channel": True}
+
+
+def test_attachments_versions_and_exports(spark, tmp_path):
+    a = spark.createDataFrame([], "index int, file_name string, mime string, comment string, data binary, size int, md5 string")
+    more = spark.createDataFrame([("b.txt", "text/plain", "", bytearray(b"xy")), ("a.txt", "text/plain", "", bytearray(b""))], "file_name string, mime string, comment string, data binary")
+    got = merge.attach(a, more).orderBy("index").collect()
+    assert [(r["index"], r["file_name"], r["size"]) for r in got] == [(0, "a.txt", 0), (1, "b.txt", 2)]
+    m = spark.createDataFrame([("m", "3.30")], "id string, version string")
+    assert merge.converted(m, "4.10").first()["version"] == "4.10"
+    with pytest.raises(ValueError):
+        merge.converted(m, "9.99")
+    sinks.export(m, "table", str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).first()["id"] == "m"
+    with pytest.raises(ValueError):
+        sinks.export(m, "mat", str(tmp_path / "x"))
+    f = spark.createDataFrame([(0.5, 7, bytearray(b"\x01\xff"), 1), (0.6, 7, None, 0)], "t double, id int, payload binary, channel int")
+    assert [r["value"] for r in sinks.flexray_lines(f).collect()] == ["    0.500000 Fr RMSG 0 0 7 B 2 01 FF"]
+
+
 @pytest.mark.parametrize("kind,cut_at,good,bad", [("low", 5.0, 0.5, 40.0), ("high", 20.0, 45.0, 1.0), ("band", (8.0, 12.0), 9.8, 40.0), ("stop", (8.0, 12.0), 1.0, 9.8)])
 def test_butterworth(kind, cut_at, good, bad):
-    sections = userfn.butterworth(3, cut_at, kind, 100.0)
+    sections = filters.sections(3, cut_at, kind, 100.0)
 
     def gain(f):
         z = np.exp(-2j * np.pi * f / 100)
