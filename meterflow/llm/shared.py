@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,13 +80,53 @@ def gapless_rank(df: DataFrame, keys: list[str], salt_of: list[str], out: str, r
     return joined.withColumn(out, F.col("_first") + F.col("_r")).drop("_salt", "_s", "_r", "_first", *[f"_k_{k}" for k in keys])
 
 
-def block_pairs(df: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
-    """``df`` with (``side``, ``i``, ``j``): the members of each key are dealt to blocks of about ``block`` rows, and a row is there
-    once for each pair i <= j that its own block, ``side``, is part of. All pairs of members meet in some (key, i, j)."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    dealt = df.join(counts, keys).withColumn("side", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
-    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return paired.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")}).drop("_other", "_blocks")
+def block_pairs(df: DataFrame, keys: list[str], member: str, block: int, settled: Column | None = None, task_rows: int = 20_000) -> DataFrame:
+    """``df`` with (``side``, ``i``, ``j``, ``task``): the members of each key are dealt to blocks of about ``block`` rows, and a row is there
+    once for each pair i <= j that its own block, ``side``, is part of. All pairs of members meet in some (key, i, j), but for
+    those of which both are ``settled``: their blocks are paired with other blocks only. Each (key, i, j) lies in one ``task``, a group
+    for Spark of about ``task_rows`` rows: small ones share a task, and those of a large key lie in many.
+
+    The sizes of keys are written as a table, and a job adds them up."""
+    is_settled, open_blocks, settled_blocks, other = fresh_names(df, "is_settled", "open_blocks", "settled_blocks", "other")
+    flagged = df.withColumn(is_settled, settled if settled is not None else F.lit(False))
+    number = lambda flag: F.sum(F.when(F.col(is_settled) == flag, 1).otherwise(0))
+    sizes = materialize(flagged.groupBy(*keys).agg(number(False).alias("free"), number(True).alias("held")), "sizes")
+    n_open, n_held = (F.ceil(F.col(c) / block).cast("int") for c in ("free", "held"))
+    rows = sizes.agg(F.sum(F.col("free") * (n_open + n_held) + F.col("held") * n_open)).first()[0] or 0
+    counts = sizes.select(*keys, n_open.alias(open_blocks), n_held.alias(settled_blocks))
+    hashed, n_open, n_held = F.xxhash64(member), F.col(open_blocks), F.col(settled_blocks)
+    dealt = flagged.join(counts, keys).withColumn("side", F.when(F.col(is_settled), n_open + F.pmod(hashed, F.greatest(n_held, F.lit(1)))).otherwise(F.pmod(hashed, F.greatest(n_open, F.lit(1)))).cast("int"))
+    last = F.when(F.col(is_settled), n_open - 1).otherwise(n_open + n_held - 1)
+    paired = dealt.where(last >= 0).withColumn(other, F.explode(F.sequence(F.lit(0), last)))
+    out = paired.withColumns({"i": F.least("side", other), "j": F.greatest("side", other)}).drop(other, open_blocks, settled_blocks, is_settled)
+    return out.withColumn("task", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(max(1, rows // task_rows))))
+
+
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal rows of sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(new)
+    return start, np.append(start[1:], n)
+
+
+def pairs_within(start: np.ndarray, end: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs u < v of rows of the same run, about ``most`` at a time (those of one row at least)."""
+    size = end - start
+    row = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    partners = np.repeat(end, size) - row - 1
+    total = np.cumsum(partners)
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = partners[at:to]
+        u = np.repeat(row[at:to], n)
+        if len(u):
+            yield u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
 
 
 def least_labels(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -197,7 +197,9 @@ def test_urls(spark):
     got = {r["page_id"]: (r["verdict"], r["rule"]) for r in urlfilter.judge_urls(df, urlfilter.RULES).collect()}
     assert got == {i: (v, r) for i, (_, v, r) in enumerate(urls)}
     assert urlfilter.judge_urls(df.limit(0), urlfilter.RULES).count() == 0
-    assert urlfilter.Trie([("allow", "", "")]).find("any", "/x") == ("allow", "")
+    assert urlfilter.Trie([("allow", "", "")]).find("any", "/x") == ("allow", "", 0, 0)
+    few = urlfilter.judge_urls(df.withColumnRenamed("url", "u.r").withColumn("_judged", F.lit(1)), urlfilter.RULES, url="u.r", slice_bytes=20)
+    assert few.columns == ["page_id", "u.r", "_judged", "host", "path", "rule", "verdict"] and {r["page_id"]: (r["verdict"], r["rule"]) for r in few.collect()} == got
 
 
 def test_packing(docs, empty, rows):
@@ -396,7 +398,8 @@ def test_embeddings(spark):
 
 def test_lattice_points():
     rng = np.random.RandomState(1)
-    near, far = embeddings.decode(rng.standard_normal((500, 8)) * 2)
+    near, far, more = embeddings.decode(rng.standard_normal((500, 8)) * 2)
+    assert (more >= 0).all()
     for p in (near, far):
         assert ((p % 2 == p[:, :1] % 2).all(1)).all() and (p.sum(1) % 4 == 0).all()
 
