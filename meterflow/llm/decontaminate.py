@@ -5,8 +5,9 @@ item, or the whole of a shorter item. Hashes find candidates; each is confirmed
 
 Defined cases: a null or empty text has no words; an item without words has no window; items with equal texts are all
 reported; a null item_id is reported as "null"; columns of documents are kept, those that clash with a result's name are replaced.
-The hash set is broadcast in slices of at most ``slice_bytes`` of item text, so its size is bounded however large the
-test set is; each slice is one more narrow step over the same documents.
+texts of documents may be of any length. A slice of items holds at most ``slice_bytes`` of text and is broadcast as sorted hashes, places in the
+items' normalised text and that text: about 40 bytes a window, of which there is at most one a word. However large the test set is, one slice is held at a time:
+each further slice is a pass over a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialize, quoted
 from .textbatch import LOWER, TextBatch, large, pieces, shingles
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
 SPAN = "array<struct<start:int,end:int>>"
+RESULT = ["n_words", "hit_words", "hit_bytes", "items"]
 
 
 def _normal(batch: TextBatch, i: int, k: int) -> bytes:
@@ -30,36 +33,48 @@ def _normal(batch: TextBatch, i: int, k: int) -> bytes:
 
 
 class Windows:
-    """Hash set of one slice of items: for each window length its sorted hashes, its words and its items."""
+    """Hash set of one slice of items, in arrays. For each window length k: sorted hashes; for each of them its windows, as first word and item, from ``cut`` on."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        found: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        if items:
-            batch = TextBatch(large(pa.array([t or "" for _, t in items], pa.large_string())))
-            batch.words(WORD)
-            hashes = batch.word_hashes()
-            for i, (item, _) in enumerate(items):
-                a, m = int(batch.first[i]), int(batch.n_words[i])
-                k = min(n, m)
-                for j, h in enumerate(shingles(hashes[a : a + m], k).tolist() if k else ()):
-                    found[k][h][_normal(batch, a + j, k)].add(item)
+        self.items = [i for i, _ in items]
+        batch = TextBatch(large(pa.array([t or "" for _, t in items], pa.large_string())))
+        batch.words(WORD)
+        hashes = batch.word_hashes()
+        # words in lower case with one blank between them, so that a window is a range of bytes
+        size = batch.we - batch.ws + 1
+        self.start = np.cumsum(size) - size
+        self.end = self.start + size - 1
+        take = np.repeat(batch.ws - self.start, size) + np.arange(int(size.sum()))
+        text = LOWER[batch.buf[np.minimum(take, len(batch.buf) - 1)]] if len(take) else np.zeros(0, np.uint8)
+        text[self.end] = 0x20
+        self.text = text.tobytes()
+        self.start, self.end = self.start.astype(np.int32), self.end.astype(np.int32)
         self.by_length = {}
-        for k, by_hash in found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
+        lengths = np.minimum(batch.n_words, n)
+        for k in sorted({int(x) for x in lengths if x}):
+            of = np.flatnonzero(lengths == k)
+            count = batch.n_words[of] - k + 1
+            first = np.repeat(batch.first[of] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            h = shingles(hashes, k)[first]
+            order = np.argsort(h, kind="stable")
+            h, first, item = h[order], first[order].astype(np.int32), np.repeat(of, count)[order].astype(np.int32)
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             seen = np.zeros(1 << 16, bool)
-            seen[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.by_length[k] = (keys, seen, [{w: sorted(s) for w, s in by_hash[h].items()} for h in keys.tolist()])
+            seen[(h >> np.uint64(48)).astype(np.int64)] = True
+            self.by_length[k] = (h[new], seen, np.append(new, len(h)), first, item)
 
     def hits(self, batch: TextBatch, hashes: np.ndarray):
         """(first word, length, items) of each confirmed occurrence."""
-        for k, (keys, seen, texts) in self.by_length.items():
+        for k, (keys, seen, cut, first, item) in self.by_length.items():
             h = shingles(hashes, k)
             at = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
             at = at[batch.doc[at] == batch.doc[at + k - 1]]
             where = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             ok = keys[where] == h[at]
             for i, w in zip(at[ok].tolist(), where[ok].tolist()):
-                items = texts[w].get(_normal(batch, i, k))
+                words = _normal(batch, i, k)
+                same = range(int(cut[w]), int(cut[w + 1]))
+                items = {self.items[item[x]] for x in same if self.text[self.start[first[x]] : self.end[first[x] + k - 1]] == words}
                 if items:
                     yield i, k, items
 
@@ -68,22 +83,23 @@ def _slices(benchmark: DataFrame, slice_bytes: int):
     """Items as lists of (id, text), each list at most ``slice_bytes`` of text (one item at least)."""
     now, size = [], 0
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").orderBy("item_id", "text").toLocalIterator():
-        if now and size + len(text or "") > slice_bytes:
+        n = len((text or "").encode())
+        if now and size + n > slice_bytes:
             yield now
             now, size = [], 0
         now.append((item, text))
-        size += len(text or "")
+        size += n
     yield now
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, slice_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with n_words long, hit_words (maximal runs of hit words), hit_bytes (the same as UTF-8 byte ranges) and items (ids as strings, sorted)."""
     spark = docs.sparkSession
-    out = docs.select(*[c for c in docs.columns if c not in ("n_words", "hit_words", "hit_bytes", "items")])
+    out = docs.select(quoted([c for c in docs.columns if c not in RESULT]))
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.expr(f"cast(array() as {SPAN})"), "hit_bytes": F.expr(f"cast(array() as {SPAN})"), "items": F.expr("cast(array() as array<string>)")})
-    for items in _slices(benchmark, slice_bytes):
+    for k, items in enumerate(_slices(benchmark, slice_bytes)):
         held = spark.sparkContext.broadcast(Windows(items, n))
-        out = out.mapInArrow(_scanner(held, out.columns), out.schema)
+        out = (materialize(out, "hits") if k else out).mapInArrow(_scanner(held, out.columns), out.schema)
     return out
 
 
