@@ -7,7 +7,7 @@ that fills a window closest to its capacity; backtracking gives the count of eac
 often as the counts last. Each pattern exhausts a length, so there are at most 2047 patterns. Rows get a rank
 within their length, and the pattern's ranges of ranks say where each row goes.
 
-Defined cases: a null or empty text is one id, the end mark; repeated rows are all packed, each on its own; an empty table gives no rows; a text
+Defined cases: a null or empty text is one id, the end mark; repeated rows are all packed, each on its own, in an order that doesn't matter; texts may be of any length; other columns don't matter, whatever their names; an empty table gives no rows; a text
 that spells a special token is tokenised as the tokenizer itself does.
 """
 

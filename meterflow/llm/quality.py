@@ -6,7 +6,8 @@ and kept as flat arrays that a batch of documents walks level by level. Only sta
 
 Defined cases: a null or empty text has all statistics zero and gets a score as any other; rows whose label is null, or whose
 doc_id is null, aren't learned from; without both labels every score is the share of label 1, or 0.5 without any;
-repeated rows get equal scores; an empty table gives no rows.
+repeated rows get equal scores; of rows that share a labelled doc_id one is learned from; texts may be of any length; other columns are
+kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import quoted
 from .textbatch import LOWER, SPACE, TextBatch, large, mixed, pieces, powers
 
 MOST_ROWS = 20_000
@@ -148,7 +150,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     """(doc_id, text, label) of at most ``most_rows`` labelled rows: those whose doc_id has the least hashes."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded: most_rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded: most_rows
+    # of rows that share a doc_id one is learned from, so that the sample is bounded as well
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Trees:
@@ -183,7 +187,7 @@ def with_quality(docs: DataFrame, trees: Trees) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     fields = [f for f in docs.schema.fields if f.name != "quality_score"]
-    return docs.select(*keep).mapInArrow(run, StructType([*fields, StructField("quality_score", DoubleType())]))
+    return docs.select(*quoted(keep)).mapInArrow(run, StructType([*fields, StructField("quality_score", DoubleType())]))
 
 
 FOLDS, LEAST_SCORE = 5, 0.3

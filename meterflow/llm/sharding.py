@@ -8,7 +8,8 @@ pass is one grouped sum, and at most 4096 sums a node reach the driver, whatever
 The key of a row is its dimension's value (30 bits) followed by a hash of its text (30 bits), so equal texts share a
 shard; texts whose copies together weigh more than a sixteenth of a leaf are spread by doc_id instead, or
 no cut could be even. Defined cases: a null text weighs 1; null or NaN dimensions count as the lowest value; repeated rows are
-all placed; an empty table gives no rows.
+all placed; texts may be of any length; other columns are kept, but for names that begin as this module's own (_w, _copies, _node, _d0, _k0 and so
+on); an empty table gives no rows. With ``target_bytes`` the cuts of all leaves pass through the driver, so that is for up to some thousands of leaves.
 """
 
 from __future__ import annotations

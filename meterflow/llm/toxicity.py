@@ -6,8 +6,8 @@ Tokens with a letter and with anything that may disguise — a sign at any place
 spaced out become lattices of what each sign may stand for; tokens without a letter are numbers or punctuation; a Viterbi search finds the likeliest reading under the character model, to which the learned words
 were added. A document's score is a logistic regression on which learned words its restored text holds.
 
-Only ``MOST_ROWS`` labelled rows (of least hash of doc_id) are learned from; everything else covers all rows and whole
-texts. Defined cases: a null or empty text scores the intercept; labels that are null aren't learned from; without both
+Only ``MOST_ROWS`` labelled rows (of least hash of doc_id, one a doc_id) are learned from, and ``MOST_WORDS`` words of 3 to 30 letters, or beginnings of 3 to 9, that tell
+most; everything else covers all rows and whole texts of any length. Other columns are kept, whatever their names. Defined cases: a null or empty text scores the intercept; labels that are null aren't learned from; without both
 labels every score is the share of label 1, or 0.5 without any; repeated rows get equal scores; an empty table gives no rows.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .quality import labelled_sample, remainder
+from .shared import quoted
 from .textbatch import LOWER, SPACE, TextBatch, large, pieces
 
 MOST_ROWS, MOST_WORDS, LEAST_DOCS, LEAST_ODDS = 20_000, 1_500, 8, 3.0
@@ -97,6 +98,34 @@ def gate(words: list[str]) -> re.Pattern:
     return re.compile("(?:^|(?<=[A-Z-]))" + text(trie)) if trie else re.compile("(?!)")
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each character of a token what it may stand for, with a cost: a letter, nothing, or a break between words."""
+    out, last, core = [], "", [i for i, ch in enumerate(token) if ch.isalnum()]
+    for i, ch in enumerate(token):
+        reads: list[tuple[str, float]] = []
+        if ch in " \n":  # between letters that stand alone: one blank, or a wider gap
+            reads = [("", 0.0), (" ", GAP_COST)] if ch == " " else [("", GAP_COST), (" ", 0.0)]
+        if ch in SIGNS:
+            reads += [(c, SIGN_COST) for c in SIGNS[ch]]
+        if ch in LETTERS:
+            reads.append((ch, 0.0))
+        if ch in " \n":
+            ch = last
+        elif ch in BETWEEN or ch == last:
+            reads.append(("", REPEAT_COST if ch == last else DROP_COST))
+            if ch in BETWEEN:
+                reads.append((" ", BREAK_COST))
+        elif ch in EDGE and not (core and core[0] < i < core[-1]):
+            reads += [("", EDGE_COST), (" ", EDGE_COST)]
+        elif ch in SIGNS:
+            reads += [("", PLAIN_DROP_COST), (" ", PLAIN_DROP_COST)]
+        elif ch not in LETTERS:
+            reads += [("", PLAIN_DROP_COST / 3), (" ", PLAIN_DROP_COST / 4)]
+        out.append(reads or [(" ", 1.0)])
+        last = ch
+    return out
+
+
 class Model:
     """Trigram costs of the character model, and the learned words with their weights."""
 
@@ -153,30 +182,7 @@ class Model:
     def _viterbi(self, token: str) -> str:
         # a state holds its cost and a chain of letters back to the beginning, so that long tokens cost in proportion
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        last, core = "", [i for i, ch in enumerate(token) if ch.isalnum()]
-        for i, ch in enumerate(token):
-            reads: list[tuple[str, float]] = []
-            if ch in " \n":  # between letters that stand alone: one blank, or a wider gap
-                reads = [("", 0.0), (" ", GAP_COST)] if ch == " " else [("", GAP_COST), (" ", 0.0)]
-            if ch in SIGNS:
-                reads += [(c, SIGN_COST) for c in SIGNS[ch]]
-            if ch in LETTERS:
-                reads.append((ch, 0.0))
-            if ch in " \n":
-                ch = last
-            elif ch in BETWEEN or ch == last:
-                reads.append(("", REPEAT_COST if ch == last else DROP_COST))
-                if ch in BETWEEN:
-                    reads.append((" ", BREAK_COST))
-            elif ch in EDGE and not (core and core[0] < i < core[-1]):
-                reads += [("", EDGE_COST), (" ", EDGE_COST)]
-            elif ch in SIGNS:
-                reads += [("", PLAIN_DROP_COST), (" ", PLAIN_DROP_COST)]
-            elif ch not in LETTERS:
-                reads += [("", PLAIN_DROP_COST / 3), (" ", PLAIN_DROP_COST / 4)]
-            if not reads:
-                reads = [(" ", 1.0)]
-            last = ch
+        for reads in lattice(token):
             now: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in states.items():
                 for c, extra in reads:
@@ -374,7 +380,7 @@ def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[whole.column(c) for c in keep], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*keep, "toxicity_score"])
 
     fields = [f for f in docs.schema.fields if f.name != "toxicity_score"]
-    return docs.select(*keep).mapInArrow(run, StructType([*fields, StructField("toxicity_score", DoubleType())]))
+    return docs.select(*quoted(keep)).mapInArrow(run, StructType([*fields, StructField("toxicity_score", DoubleType())]))
 
 
 FOLDS, HELD_OUT, LEAST_SCORE = 3, 1, 0.7
