@@ -267,3 +267,39 @@ def from_dict(given: dict) -> dict:
     if column("input") and column("output"):
         return {"type": "text_to_text", "rows": dict(zip(column("input"), column("output"))), "default": given.get("default")}
     return {"type": "none"}
+
+
+def to_dict(conversion: dict | None) -> dict:
+    """The shape of keys that :func:`from_dict` reads, of conversions that have one."""
+    c = conversion or {"type": "none"}
+    default = {"default": c["default"]} if c.get("default") is not None else {}
+    numbered = lambda **columns: {f"{name}_{i}": v for name, values_ in columns.items() for i, v in enumerate(values_)}
+    if c["type"] == "none":
+        return {}
+    if c["type"] == "linear":
+        return {"a": c["a"], "b": c["b"]}
+    if c["type"] == "formula":
+        return {"formula": c["formula"]}
+    if c["type"] in ("rational", "exponential"):
+        return {f"P{i}": v for i, v in enumerate(c["p"], 1)}
+    if c["type"] in ("table", "table_interpolated"):
+        return numbered(raw=c["raw"], phys=c["phys"]) | ({"interpolation": True} if c["type"] == "table_interpolated" else {})
+    if c["type"] in ("range_to_text", "range_to_value"):
+        lower, upper, results = zip(*c["rows"])
+        return numbered(lower=lower, upper=upper, **{"text" if c["type"] == "range_to_text" else "phys": results}) | default
+    names = {"value_to_text": ("val", "text"), "text_to_value": ("text", "phys"), "text_to_text": ("input", "output")}
+    if c["type"] in names:
+        return numbered(**dict(zip(names[c["type"]], zip(*c["rows"].items())))) | default
+    raise ValueError(f"{c['type']} has no shape of keys")
+
+
+def transferred(conversion: dict | None, version: int) -> dict:
+    """A conversion for version 3 or 4 of the format, with the same results. Version 4 has no polynomial quotients, which are rational conversions
+    there; version 3 has no tables from texts, nor ranges to values with a default: they are an error there."""
+    c = conversion or {"type": "none"}
+    if version >= 4 and c["type"] == "polynomial":
+        p1, p2, p3, p4, p5, p6 = c["p"]
+        return {"type": "rational", "p": (0, -p4, p2 + p4 * (p5 + p6), 0, p3, -p3 * (p5 + p6) - p1)}
+    if version < 4 and (c["type"] in ("text_to_value", "text_to_text", "bitfield") or (c["type"] == "range_to_value" and c.get("default") is not None)):
+        raise ValueError(f"version {version} has no conversion {c['type']!r}")
+    return c

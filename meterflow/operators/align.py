@@ -110,6 +110,19 @@ def union_timebase(*frames: DataFrame, keys: list[str] = (), digits: int | None
     return reduce(DataFrame.unionByName, [f.select(*keys, t.alias("t")) for f in frames]).distinct()
 
 
+def union_of_masters(samples: DataFrame, group: list[str], digits: int | None = None) -> DataFrame:
+    """Stamps of all channels of all files. Channels of a group share their master, whose stamps count once before groups are united."""
+    masters = samples.select(*group, "t").distinct()
+    return union_timebase(masters, digits=digits)
+
+
+def joined_channels(a: DataFrame, b: DataFrame, keys: list[str], digits: int = 9, bucket: float | None = None) -> DataFrame:
+    """(keys, t, a, b): both channels, interpolated, on the union of their stamps rounded to ``digits``."""
+    stamps = union_timebase(a, b, keys=keys, digits=digits)
+    first = interpolate(a, stamps, keys, bucket=bucket).withColumnRenamed("v", "a")
+    return interpolate(b, first, keys, bucket=bucket).withColumnRenamed("v", "b")
+
+
 def every_stamp(channels: DataFrame, stamps: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
     """Each channel with each stamp of its keys. Without keys stamps are dealt to parts, each of which holds the channels once."""
     if keys:

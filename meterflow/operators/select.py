@@ -88,6 +88,17 @@ def longest_value(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.max(F.octet_length("v")).alias("size"))
 
 
+def iterate(samples: DataFrame, catalogue: DataFrame, keys: list[str] = ["group_index", "channel_index"]):
+    """Names of channels in the catalogue's order, each with its samples as a frame that isn't computed before it is asked for."""
+    for row in catalogue.select("name", *keys).orderBy(*keys).toLocalIterator():
+        yield row["name"], samples.where(reduce(lambda a, b: a & b, [F.col(k) == row[k] for k in keys]))
+
+
+def cast_values(samples: DataFrame, kind: str) -> DataFrame:
+    """Samples of another type: fractions are cut, and what doesn't fit is null."""
+    return samples.withColumn("v", F.col("v").try_cast(kind))
+
+
 def keep_channels(samples: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Samples of the channels in ``wanted``; none is doubled."""
     return samples.join(wanted.select(*keys), keys, "left_semi")

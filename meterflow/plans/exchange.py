@@ -97,10 +97,10 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' last readings: the first 50 of numbers, then texts, then missing ones."""
+    """Customers' last readings: numbers, then texts, then missing ones."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     shown = c.select("c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("number"), F.when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).alias("text"))
-    return select.sort_by_value(shown, "number", "text", "c_name").limit(50)
+    return select.sort_by_value(shown, "number", "text", "c_name")
 
 
 def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,6 @@ ORACLE_SQL = {
     "scrambled_names": "SELECT p_name AS own, 1 AS forms, 0 AS readable, max(length(p_name)) AS size FROM part GROUP BY p_name",
     "lin_trace": f"WITH {S} SELECT t, 'LIN1' AS bus, (user_id + 64) & 63 AS id, coalesce(n_name, '') AS message, CASE WHEN channel = 'error' THEN 'LIN Checksum Error' ELSE 'LIN Frame' END AS event, 2 AS dlc, substr(lpad(hex(ord), 4, '0'), 1, 2) || ' ' || substr(lpad(hex(ord), 4, '0'), 3, 2) AS data FROM s LEFT JOIN nation ON n_nationkey = (user_id + 64) & 63",
     "display_texts": "SELECT n_nationkey, n_name AS comment, n_name AS text FROM nation",
-    "value_order": "WITH c AS (SELECT c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS number, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS text FROM customer) SELECT * FROM c ORDER BY CASE WHEN number IS NOT NULL THEN 0 WHEN text IS NOT NULL THEN 1 ELSE 2 END, number, text, c_name LIMIT 50",
+    "value_order": "WITH c AS (SELECT c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS number, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS text FROM customer) SELECT * FROM c ORDER BY CASE WHEN number IS NOT NULL THEN 0 WHEN text IS NOT NULL THEN 1 ELSE 2 END, number, text, c_name",
     "clipped": f"WITH {S} SELECT ord AS event_id, greatest(least(v, 50), 5) AS v FROM s",
 }

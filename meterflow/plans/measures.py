@@ -175,11 +175,9 @@ def step_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands with their place in natural order."""
-    from pyspark.sql import Window
-
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("name")).distinct()
-    return names.withColumn("place", F.row_number().over(Window.orderBy(select.natural_key("name"))))
+    """Parts by the natural order of their brands, with the key that they are sorted by."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("name"))
+    return names.withColumn("key", F.array_join(select.natural_key("name"), "")).orderBy("key", "p_partkey")
 
 
 def conv_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +418,7 @@ SELECT channel, round(f, 6) AS frequency, round(((ct * vc + st * vs) ** 2 / (ct
     "next_different": f"WITH {S}, c AS (SELECT user_id, arg_max(v, t) AS now FROM s WHERE t <= {START} GROUP BY 1), j AS (SELECT s.user_id, t, v, now FROM s JOIN c USING (user_id)) SELECT user_id, min(t) AS t, 'higher' AS mode FROM j WHERE t > {START} AND v > now GROUP BY 1 UNION ALL SELECT user_id, max(t), 'lower' FROM j WHERE t < {START} AND v < now GROUP BY 1 UNION ALL SELECT user_id, min(t), 'different' FROM j WHERE t > {START} AND v <> now GROUP BY 1",
     "next_match": f"WITH {S} SELECT min(t) AS t, arg_min(channel, t) AS channel, 'forward' AS way FROM s WHERE t > {START} AND v > 60 UNION ALL SELECT max(t), arg_max(channel, t), 'backward' FROM s WHERE t < {START} AND v > 60",
     "step_stamp": f"WITH {S} SELECT max(t) AS t, 5 AS k FROM (SELECT DISTINCT t FROM s WHERE t >= {START} ORDER BY t LIMIT 6) UNION ALL SELECT min(t), -5 FROM (SELECT DISTINCT t FROM s WHERE t < {START} ORDER BY t DESC LIMIT 5)",
-    "natural_sort": "SELECT name, row_number() OVER (ORDER BY CAST(regexp_extract(name, '[0-9]+') AS INT)) AS place FROM (SELECT DISTINCT p_brand AS name FROM part)",
+    "natural_sort": "SELECT p_partkey, p_brand AS name, lower(regexp_extract(p_brand, '^[^0-9]+')) || lpad(regexp_extract(p_brand, '[0-9]+'), 20, '0') AS key FROM part",
     "conv_linear": f"WITH {S} SELECT ord AS event_id, round(v * 1.8::DOUBLE + 32, 6) AS phys, round((v * 4 - 0.5::DOUBLE) * 0.25 + 0.125, 9) AS back FROM s",
     "conv_rational": f"WITH {S} SELECT ord AS event_id, round((v * v + 2 * v + 3) / (v + 4), 6) AS phys, round((v * 5 - 0.5) / 2, 6) AS short FROM s",
     "conv_formula": f"WITH {S} SELECT ord AS event_id, round(3 * sin(v) + (v - 2) ** 2 / 7 - sqrt(v), 6) AS phys FROM s",

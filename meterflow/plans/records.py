@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import computed
+from ..functions import computed, convert
 from ..model import event_samples
 from ..operators import align, bus, frame, merge, resample, select
 from ..sources import dbc, sinks
@@ -221,7 +221,71 @@ def computed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round(computed.column(net), 4).alias("net"), F.round(computed.column(root), 6).alias("root"), F.round(computed.column(each), 6).alias("each"))
 
 
-QUERIES = {f.__name__: f for f in [get_channel, get_raster, raw_by_channel, group_information, trigger_list, longest_text, missing_columns, edge_rows, next_rounded, append_group, append_records, stack_sync, scatter_merge, xy_union, joint_validity, unary, single_raster, dbc_database, bus_labels, frame_names, half_floats, flexray_trace, asc_kinds, computed_columns, *map(_bits, ["and", "or", "xor"])]}
+def included_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels that stand for themselves: no masters, no parts of other channels."""
+    catalogue, _ = _catalogue(spark, sf_dir)
+    marked = catalogue.withColumn("is_master", F.col("channel_index") == 0)
+    parts = spark.createDataFrame([(1, 2), (1, 3), (5, 4)], "group_index int, channel_index int")
+    return select.included(marked, parts).select("group_index", "channel_index", "name")
+
+
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by the first display name that they have, else by their name."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    names = F.when(F.col("s_suppkey") % 2 == 0, F.map_from_arrays(F.array(F.concat(F.lit("shown "), F.col("s_suppkey").cast("string"))), F.array(F.lit("display")))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    return s.withColumn("names", names).select("s_suppkey", frame.display_name("names", "s_name").alias("shown"))
+
+
+def cast_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as small integers: fractions are cut, what doesn't fit is missing."""
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 4).alias("v"))
+    return select.cast_values(p, "smallint")
+
+
+def literal_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by a hexadecimal, a binary, a text and a float literal."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    read = [("and", "o_orderkey", ">", "0x1F4", "hex"), ("and", "o_custkey", "<", "0b10000000", "bin"), ("or", "o_orderstatus", "==", "P", "ascii"), ("and", "o_totalprice", ">=", "3e5", "float")]
+    return select.filter_rows(o, [(word, c, op, select.literal(text, kind)) for word, c, op, text, kind in read])
+
+
+def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stamps a raster of half an hour has, over the channels involved."""
+    s = event_samples(spark, sf_dir).where("channel IN ('click', 'view')")
+    spans = resample.spans(s, ["user_id"])
+    return spans.select("user_id", resample.step_count(F.col("lo"), F.col("hi"), 1_800_000_000).alias("n"))
+
+
+def gps_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views as coordinates in seconds, on the union of their stamps rounded to three digits."""
+    a, b = (s.withColumn("t", (F.col("t") - F.lit(START_S * 1_000_000)) / 1_000_000) for s in _two(spark, sf_dir))
+    return align.joined_channels(a, b, ["user_id"], digits=3).select("user_id", F.round("t", 3).alias("t"), F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+
+
+def union_of_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours at which any line item's group has a sample, four channels to a group."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("group_index"), F.col("l_orderkey").alias("t"), "l_quantity", "l_tax")
+    return align.union_of_masters(frame.long(rows, "t", ["l_quantity", "l_tax"]), ["group_index"])
+
+
+def conv_transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polynomial quotient of the older format, and the rational conversion that it is in the newer one."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("x"))
+    old = {"type": "polynomial", "p": (3.0, 2.0, 0.5, -4.0, 1.0, 0.25)}
+    new = convert.transferred(old, 4)
+    return p.select("p_partkey", F.round(convert.convert(F.col("x"), old), 9).alias("old"), F.round(convert.convert(F.col("x"), new), 9).alias("new"))
+
+
+def conv_text_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value table with texts taken and skipped, and ranges whose default is a linear conversion."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    c = {"type": "value_to_text", "rows": {1: "one", 2: "two"}, "default": "many"}
+    r = convert.from_dict(convert.to_dict({"type": "range_to_value", "rows": [(0, 9, 1.0), (10, 19, 2.0)], "default": {"type": "linear", "a": 0.5, "b": 3.0}}))
+    x = F.col("p_size")
+    return p.select("p_partkey", convert.convert(x, c).alias("text"), convert.convert(x, c, skip_text=True).alias("raw"), convert.convert(x.cast("double"), r).alias("ranged"))
+
+
+QUERIES = {f.__name__: f for f in [included_channels, display_names, cast_values, literal_filters, step_counts, gps_join, union_of_masters, conv_transferred, conv_text_skipped, get_channel, get_raster, raw_by_channel, group_information, trigger_list, longest_text, missing_columns, edge_rows, next_rounded, append_group, append_records, stack_sync, scatter_merge, xy_union, joint_validity, unary, single_raster, dbc_database, bus_labels, frame_names, half_floats, flexray_trace, asc_kinds, computed_columns, *map(_bits, ["and", "or", "xor"])]}
 
 _FR = f"WITH {S}, f AS (SELECT 'CAN' || (user_id % 2 + 1) AS bus, user_id % 5 AS id, t, ord FROM s)"
 _HELD = f"""WITH {S}, g AS (SELECT * FROM s WHERE channel IN ('click', 'view')),
@@ -235,6 +299,15 @@ y AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JO
 SELECT user_id, t, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT user_id, t, {LINEAR} AS x FROM x) JOIN (SELECT user_id, t, {LINEAR} AS y FROM y) USING (user_id, t)"""
 
 ORACLE_SQL = {
+    "included_channels": "SELECT CAST(g AS INTEGER) AS group_index, CAST(c AS INTEGER) AS channel_index, ['click', 'error', 'purchase', 'signup', 'view'][c + 1] AS name FROM range(7) a(g), range(1, 5) b(c) WHERE NOT (g = 1 AND c IN (2, 3)) AND NOT (g = 5 AND c = 4)",
+    "display_names": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'shown ' || s_suppkey ELSE s_name END AS shown FROM supplier",
+    "cast_values": "SELECT o_orderkey, TRY_CAST(trunc(o_totalprice / 4) AS SMALLINT) AS v FROM orders",
+    "literal_filters": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE (o_orderkey > 500 AND o_custkey < 128) OR (o_orderstatus = 'P' AND o_totalprice >= 300000)",
+    "step_counts": f"WITH {S} SELECT user_id, CAST(floor((max(t) - min(t)) / 1800000000) AS BIGINT) + 1 AS n FROM s WHERE channel IN ('click', 'view') GROUP BY 1",
+    "gps_join": _UNION.replace("WITH s AS (SELECT event_type AS channel, user_id, event_id AS ord, epoch_us(ts) AS t,", f"WITH s AS (SELECT event_type AS channel, user_id, event_id AS ord, (epoch_us(ts) - {START_S}000000) / 1000000.0::DOUBLE AS t,").replace("p AS (SELECT DISTINCT user_id, t FROM s", "p AS (SELECT DISTINCT user_id, round(t, 3) AS t FROM s").replace("SELECT user_id, t, round(x, 6) AS x, round(y, 6) AS y FROM", "SELECT user_id, round(t, 3) AS t, round(x, 5) AS a, round(y, 5) AS b FROM"),
+    "union_of_masters": "SELECT DISTINCT l_orderkey AS t FROM lineitem",
+    "conv_transferred": "SELECT p_partkey, round(v, 9) AS old, round(v, 9) AS new FROM (SELECT p_partkey, (2.0 + 4.0 * (p_size - 1.25)) / (0.5 * (p_size - 1.25) - 3.0) AS v FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part))",
+    "conv_text_skipped": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS text, p_size AS raw, CAST(CASE WHEN p_size BETWEEN 0 AND 8 THEN 1 WHEN p_size BETWEEN 10 AND 18 THEN 2 ELSE 0.5 * p_size + 3 END AS DOUBLE) AS ranged FROM part",
     "get_channel": f"{_CAT} SELECT ordinal, t, raw AS v FROM c WHERE channel = 'view' AND group_index = 3 AND ordinal >= 100",
     "get_raster": f"{_CAT}, q AS (SELECT (t - {START_S}000000) / 1000000.0::DOUBLE AS t, physical AS v FROM c WHERE channel = 'click' AND group_index = 2), m AS (SELECT min(t) AS lo, max(t) AS hi FROM q), p AS (SELECT lo + i * ((lo + 21600.0) - lo) AS t FROM m, range(0, CAST(ceil((hi - lo) / 21600.0) AS BIGINT)) r(i)), n AS (SELECT p.t, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JOIN q b ON p.t >= b.t ASOF LEFT JOIN q a ON p.t < a.t) SELECT round(t, 3) AS t, round({LINEAR}, 4) AS v FROM n",
     "raw_by_channel": f"{_CAT} SELECT ordinal, CASE WHEN channel IN ('click', 'view') THEN raw ELSE physical END AS v FROM c",
