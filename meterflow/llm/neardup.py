@@ -4,9 +4,10 @@ A document's set is its distinct shingles of five blank-separated words (A-Z low
 registers holds a truncated minimum of exponentially distributed values, spaced as powers of ``SPACING``; bands of
 register values meet in a bucket. Equal sets are joined first and stand for one. Links are confirmed on full sets:
 
-1. every set is compared with one leader, the smallest set of most of its buckets; a confirmed leader is its label;
-2. where labels still share a bucket, registers of all members are compared, block by block; members of different
-   labels that agree in half of them form clusters. Within a cluster, again block by block, pairs of different
+1. every set is compared with one leader, the smallest set of most of its buckets; components of confirmed links are labels;
+2. where labels still share a bucket, registers are compared, block by block, but those of the bucket's largest label only
+   with others, so that the work of a large group of copies grows with its size; members of different
+   labels that agree in half of them form clusters. Within a cluster, by the same rule, pairs of different
    labels are estimated jointly by likelihood, and those that may reach the threshold are confirmed on full sets.
    Blocks are arrays in tasks: what they give is a row per member, never a pair, and no link that a bucket shows is given up.
 
@@ -15,7 +16,8 @@ probability 2e-6. Components are contracted on Spark; each round is a table in t
 
 Defined cases: a document with fewer than five words has the sequence of its words as its one shingle; one without
 words, or a null text, has an empty set, links with nothing and is kept; repeated rows link; a null doc_id has a null component
-and is not kept; other columns don't matter; an empty table gives no rows.
+and is not kept; rows of one doc_id with different texts are one node where the doc_id stands for several sets; texts may be of any length;
+other columns don't matter, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import block_pairs, components, least_labels, materialize
+from .shared import block_pairs, components, least_labels, materialize, pairs_within, runs
 from .textbatch import SPACE, STEP, TextBatch, large, mixed, pieces, shingles
 
 WORDS, BANDS, ROWS = 5, 24, 3
@@ -37,6 +39,8 @@ _salts = np.random.RandomState(78).randint(0, 2**62, BANDS, dtype=np.int64).asty
 LEAST_ESTIMATE = 0.5
 #: Members of a block, in a bucket (registers only) and in a cluster (with texts).
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 256
+#: Rows of a bucket or cluster up to which its pairs are listed, many of them at once; rows of a task, without texts and with them.
+SMALL, BUCKET_ROWS, CLUSTER_ROWS = 64, 20_000, 1_000
 
 
 def shingle_sets(batch: TextBatch) -> list[np.ndarray]:
@@ -141,52 +145,83 @@ def _confirm(per_cent: int):
 LEAST_EQUAL = REGISTERS // 2
 
 
+def _likely(regs: np.ndarray, comp: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have different labels and agree in enough registers."""
+    apart = np.flatnonzero(comp[u] != comp[v])
+    keep = np.zeros(len(u), bool)
+    keep[apart] = (regs[u[apart]] == regs[v[apart]]).sum(1) >= LEAST_EQUAL
+    return keep
+
+
+def _pairs(keys: list[np.ndarray], i: np.ndarray, j: np.ndarray, side: np.ndarray, comp: np.ndarray, regs: np.ndarray):
+    """Pairs of rows of a task, sorted by key, i and j, that share a pair of blocks, have different labels and agree in enough registers."""
+    start, end = runs(*keys, i, j)
+    small = (i[start] == j[start]) & (end - start <= SMALL)
+    for u, v in pairs_within(start[small], end[small], 1 << 16):
+        likely = _likely(regs, comp, u, v)
+        yield u[likely], v[likely]
+    for a, b in zip(start[~small].tolist(), end[~small].tolist()):
+        x, y = a + np.flatnonzero(side[a:b] == i[a]), a + np.flatnonzero(side[a:b] == j[a])
+        for part in np.array_split(x, -(-len(x) // 128)) if len(x) else ():
+            equal = sum((regs[part, k][:, None] == regs[y, k][None]).astype(np.uint8) for k in range(REGISTERS))
+            apart = comp[part][:, None] != comp[y][None]
+            if i[a] == j[a]:
+                apart &= part[:, None] < y[None]
+            p, q = np.nonzero((equal >= LEAST_EQUAL) & apart)
+            yield part[p], y[q]
+
+
+def _registers_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _alike(key, table):
-    """Of a block pair of a bucket, (a, b): each member and the least one of its cluster, by registers that agree."""
-    i, j = key[1].as_py(), key[2].as_py()
-    table = table.sort_by("rep")
-    side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
-    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    x, y, pairs = np.flatnonzero(side == i), np.flatnonzero(side == j), [np.zeros((2, 0), np.int64)]
-    for part in np.array_split(x, -(-len(x) // 128)) if len(x) else ():
-        equal = sum((regs[part, k][:, None] == regs[y, k][None]).astype(np.uint8) for k in range(REGISTERS))
-        p, q = np.nonzero((equal >= LEAST_EQUAL) & (comp[part][:, None] != comp[y][None]))
-        pairs.append(np.stack((part[p], y[q])))
+    """Of the pairs of blocks of a task, (a, b): each member and the least one of its cluster, by registers that agree."""
+    table = table.sort_by([(c, "ascending") for c in ("h", "i", "j", "rep")])
+    h, i, j, side, rep, comp = (table.column(c).to_numpy() for c in ("h", "i", "j", "side", "rep", "comp"))
+    pairs = [np.zeros((2, 0), np.int64), *(np.stack(p) for p in _pairs([h], i, j, side, comp, _registers_of(table)))]
     low = rep[least_labels(len(rep), *np.concatenate(pairs, 1))]
     return pa.table({"a": rep[low < rep], "b": low[low < rep]})
 
 
 def _confirm_block(per_cent: int):
-    """Of a block pair of a cluster, (a, b): each member and the least one that it is linked with, through members of the block."""
+    """Of the pairs of blocks of a task, (a, b): each member and the least one that it is linked with, through members of the blocks."""
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        table = table.sort_by("rep")
-        side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        texts = large(table.column("text"))
+        table = table.sort_by([(c, "ascending") for c in ("cluster", "i", "j", "rep")])
+        cluster, i, j, side, rep, comp = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "side", "rep", "comp"))
+        regs, texts = _registers_of(table), large(table.column("text"))
         sets = [s for a, b in pieces(texts) for s in shingle_sets(TextBatch(texts.slice(a, b - a)))]
         size = np.array([len(s) for s in sets])
-        x, y, pairs = np.flatnonzero(side == i), np.flatnonzero(side == j), [np.zeros((2, 0), np.int64)]
-        for m in x.tolist():
-            other = y[(comp[y] != comp[m]) & ((y > m) | (i != j))]
-            other = other[(regs[other] == regs[m]).sum(1) >= LEAST_EQUAL]
-            other = other[(100 * np.minimum(size[other], size[m]) >= per_cent * np.maximum(size[other], size[m]))]
-            if len(other):
-                n_m = np.full(len(other), float(size[m]))
-                other = other[joint_estimate(np.broadcast_to(regs[m], (len(other), REGISTERS)), regs[other], n_m, size[other].astype(float)) >= LEAST_ESTIMATE]
-            if len(other):
-                flat = np.concatenate([sets[k] for k in other.tolist()])
-                hit = sets[m][np.minimum(np.searchsorted(sets[m], flat), size[m] - 1)] == flat
-                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(np.append(0, size[other][:-1])))
-                linked = other[100 * both >= per_cent * (size[m] + size[other] - both)]
-                pairs.append(np.stack((np.full(len(linked), m), linked)))
+        pairs = [np.zeros((2, 0), np.int64)]
+        for u, v in _pairs([cluster], i, j, side, comp, regs):
+            near = 100 * np.minimum(size[u], size[v]) >= per_cent * np.maximum(size[u], size[v])
+            u, v = u[near], v[near]
+            for at in range(0, len(u), 1 << 14):
+                p, q = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+                open_ = joint_estimate(regs[p], regs[q], size[p].astype(float), size[q].astype(float)) >= LEAST_ESTIMATE
+                p, q = p[open_], q[open_]
+                cut = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else []
+                for a, b in zip(cut, [*cut[1:], len(p)]):
+                    m, other = int(p[a]), q[a:b]
+                    for some in np.array_split(other, -(-int(size[other].sum()) // (1 << 20))):
+                        flat = np.concatenate([sets[k] for k in some.tolist()])
+                        hit = sets[m][np.minimum(np.searchsorted(sets[m], flat), size[m] - 1)] == flat
+                        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(np.append(0, size[some][:-1])))
+                        linked = some[100 * both >= per_cent * (size[m] + size[some] - both)]
+                        pairs.append(np.stack((np.full(len(linked), m), linked)))
         low = rep[least_labels(len(rep), *np.concatenate(pairs, 1))]
         return pa.table({"a": rep[low < rep], "b": low[low < rep]})
 
     return run
 
 
+def largest_labels(labelled: DataFrame, key: str) -> DataFrame:
+    """Keys with several labels (``comp``), and the one of most members."""
+    sizes = labelled.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("labels > 1").drop("labels")
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -203,18 +238,20 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     texts = materialize(texts, "near")
     confirmed = materialize(_confirmed(edges, texts, per_cent), "links")
-    # a first label: the confirmed leader. Whatever it doesn't join is compared below, so it needn't be a component yet
-    first_label = confirmed.withColumnsRenamed({"a": "rep", "b": "_label"})
-    labelled = links.select("h", "rep").join(first_label, "rep", "left").select("h", "rep", F.coalesce("_label", "rep").alias("comp"))
-    several = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    label = components(confirmed, "first").select(F.col("node").alias("rep"), F.col("component").alias("_label"))
+    confirmed = label.select(F.col("rep").alias("a"), F.col("_label").alias("b"))
+    labelled = links.select("h", "rep").join(label, "rep", "left").select("h", "rep", F.coalesce("_label", "rep").alias("comp"))
+    several = largest_labels(labelled, "h")
     known = sets.select("rep", "regs")
-    open_rows = labelled.join(several.select("h"), "h").join(known, "rep")
-    alike = materialize(block_pairs(open_rows, ["h"], "rep", BUCKET_BLOCK).groupBy("h", "i", "j").applyInArrow(_alike, "a long, b long").distinct(), "alike")
+    open_rows = labelled.join(several, "h").join(known, "rep")
+    pairs = block_pairs(open_rows, ["h"], "rep", BUCKET_BLOCK, F.col("comp") == F.col("largest"), BUCKET_ROWS)
+    alike = materialize(pairs.groupBy("task").applyInArrow(_alike, "a long, b long").distinct(), "alike")
     if alike.limit(1).count():
         clusters = components(alike, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        members = clusters.join(known, "rep").join(first_label, "rep", "left").withColumn("comp", F.coalesce("_label", "rep")).drop("_label")
-        loaded = block_pairs(members, ["cluster"], "rep", CLUSTER_BLOCK).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        confirmed = confirmed.union(materialize(loaded.groupBy("cluster", "i", "j").applyInArrow(_confirm_block(per_cent), "a long, b long"), "links"))
+        members = clusters.join(known, "rep").join(label, "rep", "left").withColumn("comp", F.coalesce("_label", "rep")).drop("_label")
+        members = members.join(largest_labels(members, "cluster"), "cluster")
+        loaded = block_pairs(members, ["cluster"], "rep", CLUSTER_BLOCK, F.col("comp") == F.col("largest"), CLUSTER_ROWS).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        confirmed = confirmed.union(materialize(loaded.groupBy("task").applyInArrow(_confirm_block(per_cent), "a long, b long"), "links"))
     comps = components(confirmed, "near")
     of_rep = sets.select("d1", "d2", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "d1", "d2").join(of_rep, ["d1", "d2", "n"], "left")
