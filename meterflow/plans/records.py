@@ -218,7 +218,7 @@ def computed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = {"computation": {"type": "function", "name": "sqrt", "channel": net, "args": []}}
     each = {"computation": {"type": "expression", "expression": "{{price}} / {{quantity}} + 1"}}
     assert computed.required(root) == ["price", "off"]
-    return rows.select("l_orderkey", "l_linenumber", F.round(computed.column(net), 4).alias("net"), F.round(computed.column(root), 6).alias("root"), F.round(computed.column(each), 6).alias("each"))
+    return rows.select("l_orderkey", "l_linenumber", computed.column(net).alias("net"), computed.column(root).alias("root"), computed.column(each).alias("each"))
 
 
 def included_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +331,6 @@ ORACLE_SQL = {
     "half_floats": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END * 1.5::DOUBLE * pow(2, p_partkey % 30 + 1 - 15) AS v FROM part",
     "flexray_trace": f"WITH {S} SELECT t, 'FR1' AS bus, user_id AS id, ord % 64 AS cycle, CASE WHEN ord % 2 = 1 THEN 'B' ELSE 'A' END AS channel, coalesce(s_name, '') AS message, CASE s.channel WHEN 'error' THEN 'FlexRay NullFrame' ELSE 'FlexRay Frame' END AS event, CASE s.channel WHEN 'error' THEN 0 ELSE 4 END AS dlc, CASE s.channel WHEN 'error' THEN '' ELSE regexp_replace(regexp_replace(printf('%08X', ord), '(..)', '\\1 ', 'g'), ' $', '') END AS data FROM s LEFT JOIN supplier ON s_suppkey = user_id",
     "asc_kinds": f"WITH {S}, l AS (SELECT printf('%12.6f', (t - {START_S}000000) / 1000000.0::DOUBLE) AS stamp, printf('%X', user_id) AS i, regexp_replace(regexp_replace(printf('%08X', ord), '(..)', '\\1 ', 'g'), ' $', '') AS d, CASE WHEN ord % 2 = 0 THEN 'Tx' ELSE 'Rx' END AS dir, channel FROM s) SELECT CASE channel WHEN 'error' THEN stamp || ' 1  ErrorFrame' WHEN 'view' THEN stamp || ' 1  ' || rpad(i, 16, ' ') || dir || '   r' WHEN 'click' THEN stamp || ' CANFD 1  ' || dir || ' ' || rpad(i, 16, ' ') || ' 1 0 4 ' || d ELSE stamp || ' 1  ' || rpad(i, 16, ' ') || dir || '   d 4 ' || d END AS value FROM l",
-    "computed_columns": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(sqrt(l_extendedprice * (1 - l_discount)), 6) AS root, round(l_extendedprice / l_quantity + 1, 6) AS each FROM lineitem",
+    "computed_columns": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, sqrt(l_extendedprice * (1 - l_discount)) AS root, l_extendedprice / l_quantity + 1 AS each FROM lineitem",
     **{f"signal_{k}": f"{_HELD} SELECT user_id, t, {e} AS v FROM (SELECT user_id, t, CAST(floor(x) AS BIGINT) AS x, CAST(floor(y) AS BIGINT) AS y FROM z)" for k, e in {"and": "x & y", "or": "x | y", "xor": "xor(x, y)"}.items()},
 }
