@@ -89,7 +89,8 @@ class Segments:
         is_hot = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
         shard = (np.where(is_hot, mixed(content * STEP), least >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         lead = (least & np.uint64(0x3FFFFFFF)).astype(np.uint32)
-        order = np.lexsort((start, row, check, content, lead, shard))
+        # entries of equal content and different check may lie mixed: they are wanted then, and told apart by their bytes
+        order = np.lexsort((row << 32 | start, content, shard << 32 | lead))
         self.row, self.start, self.size, self.shard, self.lead, self.content, self.check, self.hot = (x[order] for x in (row, start, size, shard, lead, content, check, is_hot))
         self.by_least = least[order].view(np.int64)
         #: Entries: runs of equal shard, lead and content; the first occurrence is in the smallest document.
@@ -192,7 +193,7 @@ def _answer(most_segments: int):
         each, contents, checks = zip(*(_unpack(e, "<u4", "<u8", "<u4") for *_, e in rows))
         sent, content, check = np.concatenate(each), np.concatenate(contents), np.concatenate(checks)
         place = np.repeat(np.array([r for r, *_ in rows]), [len(e) for e in each])
-        order = np.lexsort((place, check, content, sent >> np.uint32(2)))
+        order = np.lexsort((place, content, sent >> np.uint32(2)))
         flags, lead, content, check, place = sent[order] & np.uint32(3), sent[order] >> np.uint32(2), content[order], check[order], place[order]
         new = np.ones(len(lead), bool)
         new[1:] = lead[1:] != lead[:-1]
