@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import block_pairs, components, least_labels, materialize, pairs_within, runs
+from .shared import block_pairs, components, least_labels, materialize, pairs_within, runs, scratch
 from .textbatch import STEP, mixed
 
 #: Width of projections, most probes of a table, chance vectors in a cell, recall at the threshold, rows of a task's block.
@@ -199,14 +199,16 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, tables: int | N
     same = materialize(same.withColumn("dim", F.size("embedding")), "vectors")
     blocks = blocks or blocks_for(same.groupBy("label").count().agg(F.max("count")).first()[0] or 1)
     tables = tables or tables_for(blocks, threshold)
-    hashed = materialize(same.select("rep", "embedding", "label", "dim").mapInArrow(_hash(tables, blocks), "rep long, cells array<long>"), "cells")
-    flat = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
-    full = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    tasks = block_pairs(materialize(flat.join(full, "cell").select("cell", "rep"), "shared"), ["cell"], "rep", block)
-    loaded = tasks.join(same.select("rep", "count", "embedding", "dim"), "rep").join(hashed, "rep")
-    found = materialize(loaded.groupBy("task").applyInArrow(_compare(threshold, tables), "rep long, links long, low long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(found.where("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), "vectors").withColumnRenamed("node", "rep")
+    with scratch(vectors.sparkSession) as keep:
+        hashed = materialize(same.select("rep", "embedding", "label", "dim").mapInArrow(_hash(tables, blocks), "rep long, cells array<long>"), "cells")
+        flat = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
+        full = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        tasks = block_pairs(materialize(flat.join(full, "cell").select("cell", "rep"), "shared"), ["cell"], "rep", block)
+        loaded = tasks.join(same.select("rep", "count", "embedding", "dim"), "rep").join(hashed, "rep")
+        found = materialize(loaded.groupBy("task").applyInArrow(_compare(threshold, tables), "rep long, links long, low long"), "links")
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        comps = components(found.where("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), "vectors").withColumnRenamed("node", "rep")
+        keep(found, comps)
     known = same.select("d1", "d2", "rep", "count").join(links, "rep", "left").join(comps, "rep", "left").select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("vec_id", "d1", "d2").join(known, ["d1", "d2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))

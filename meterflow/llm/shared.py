@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,20 +47,49 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The table outlives a lost executor; it is removed with the folder."""
+    The table outlives a lost executor; it is removed with the folder, or at the end of a :func:`scratch` that it was made in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def _tables_of(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made within are deleted at its end, but for those that frames given to the function it yields still read."""
+    kept: set[str] = set()
+
+    def keep(*frames: DataFrame) -> None:
+        for df in frames:
+            kept.update(_tables_of(df))
+
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        _delete(spark, [path for path in made if path.rsplit("/", 1)[1] not in kept])
+
+
 def remove_tables(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def gapless_rank(df: DataFrame, keys: list[str], salt_of: list[str], out: str, rows: int, per_task: int = 20_000) -> DataFrame:
@@ -163,11 +193,12 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     seen = state_of(now)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # the minima are dealt anew, so that each join is one of two shuffles, of which Spark splits a hub's partition
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
+        small = down.join(low2.repartition("a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         nxt = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
         state = state_of(nxt)
         remove_tables(now)
