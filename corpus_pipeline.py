@@ -1,7 +1,12 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept; its result is written as
-Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+Parquet and read again as the next stage's docs. All but the last return the columns of documents, whatever their names.
+
+Defined cases of all stages: an empty table gives no rows; null and empty texts are kept by those stages that they are not rejected by (the quality classifier
+scores them as any other), have no near duplicates, lose nothing and are packed as one end mark; texts may be of any length. Rows with a null
+doc_id are kept by the second stage, since they have no id to be known by, and count as the last documents in the third. Of repeated rows
+(one doc_id and one text) the second stage keeps one; other rows of one doc_id stand or fall together there.
 """
 
 from __future__ import annotations
@@ -32,9 +37,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near duplicates, that of the smallest doc_id; of its repeated rows one."""
+    plain = _plain(docs)
+    kept = neardup.near_duplicates(plain).where("kept OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = plain.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # only rows of ids that occur again are compared with each other
+    again = materialize(plain.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    single = rows.join(again, "doc_id", "left_anti")
+    several = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return _named(single.unionByName(several), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
