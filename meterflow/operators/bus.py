@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DAY
+from .align import bucket_width
 
 #: Error types of CAN error frames.
 #: Greatest valid raw value of a J1939 field of so many bits.
@@ -27,19 +27,20 @@ def byte_at(payload: Column, i: Column) -> Column:
 
 
 def unsigned(payload: Column, start_bit: Column, size: Column, little_endian: Column) -> Column:
-    """An unsigned field of up to 56 bits at any bit (64 if it starts at a byte's edge), as BIGINT of its low bits.
+    """An unsigned field of up to 64 bits at any bit, as BIGINT of its bits; bytes beyond the payload's end are 0xFF.
 
     ``start_bit``: of the least significant bit, counted from byte 0's bit 0, for little-endian fields; of the most
-    significant bit, in the same count, for big-endian ones."""
+    significant bit, in the same count, for big-endian ones. The bytes are read as one hexadecimal number, of 18 digits at most."""
     first = F.floor(start_bit / 8).cast("int")
     inner = F.when(little_endian, F.pmod(start_bit, F.lit(8))).otherwise(F.lit(7) - F.pmod(start_bit, F.lit(8)))
     n = F.ceil((inner + size) / 8).cast("int")
-    bytes_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte_at(payload, first + i))
-    ordered = F.when(little_endian, F.reverse(bytes_)).otherwise(bytes_)
-    whole = F.aggregate(ordered, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 8).bitwiseOR(b))
-    down = F.when(little_endian, inner).otherwise(n * 8 - inner - size)
-    mask = F.when(size >= 63, F.lit(-1).cast("long")).otherwise(F.expr("CAST(1 AS BIGINT)") * F.pow(F.lit(2.0), size).cast("long") - 1)
-    return F.call_function("shiftrightunsigned", whole, down.cast("int")).bitwiseAND(mask)
+    text = F.rpad(F.hex(F.substring(payload, first + 1, n)), 2 * n, F.lit("F"))
+    digits = F.when(little_endian, F.regexp_replace(F.reverse(text), "(.)(.)", "$2$1")).otherwise(text)
+    low = F.conv(F.right(digits, F.lit(16)), 16, -10).cast("long")
+    high = F.when(n > 8, F.conv(F.substring(digits, 1, 2), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    down = F.when(little_endian, inner).otherwise(n * 8 - inner - size).cast("int")
+    moved = F.call_function("shiftrightunsigned", low, down).bitwiseOR(F.when(n > 8, F.call_function("shiftleft", high, 64 - down)).otherwise(F.lit(0).cast("long")))
+    return moved.bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - size).cast("int")))
 
 
 def two_complement(raw: Column, size: Column) -> Column:
@@ -146,12 +147,14 @@ def bus_signal(samples: DataFrame, name: str) -> DataFrame:
     return aliases(samples).where(F.array_contains("names", name)).drop("names")
 
 
-def merge_transport(frames: DataFrame, keys: list[str], bucket: float = DAY, longest: float = 3_600_000_000) -> DataFrame:
+def merge_transport(frames: DataFrame, keys: list[str], bucket: float | None = None, longest: float = 3_600_000_000) -> DataFrame:
     """Transport-protocol messages (keys, t, size, payload) from first (0x1n) and consecutive (0x2n) frames.
 
     The size is the 12 bits after the first nibble; a first frame gives six bytes, the others seven each, cut to size. t is that of the
     frame that completes the message; unfinished ones give nothing, and frames before any first one are left out. Frames of a message
-    follow its first one within ``longest``; sessions are numbered within time buckets and carried over their edges."""
+    follow its first one within ``longest``; sessions are numbered within time buckets and carried over their edges. Without ``bucket`` their width is chosen by
+    :func:`~.align.bucket_width`, which starts a job."""
+    bucket = bucket or bucket_width(frames, keys)
     kind = F.shiftright(byte_at(F.col("payload"), F.lit(0)), 4)
     use = frames.withColumn("_k", kind).where("_k IN (1, 2)").withColumn("_b", F.floor(F.col("t") / bucket))
     start = F.when(F.col("_k") == 1, F.struct("t", "ord"))

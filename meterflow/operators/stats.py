@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DAY
+from .align import bucket_width
 from .cut import cut
 
 
@@ -15,8 +15,10 @@ def _finite(v: Column) -> Column:
     return ~F.isnan(v) & (F.abs(v) != float("inf"))
 
 
-def with_previous(samples: DataFrame, keys: list[str], columns: list[str] = ["t", "v"], bucket: float = DAY) -> DataFrame:
-    """``samples`` with ``prev``, a struct of ``columns`` of the sample before, found by time buckets."""
+def with_previous(samples: DataFrame, keys: list[str], columns: list[str] = ["t", "v"], bucket: float | None = None) -> DataFrame:
+    """``samples`` with ``prev``, a struct of ``columns`` of the sample before, found by time buckets. Without ``bucket`` their width is chosen by :func:`~.align.bucket_width`,
+    here and in what follows, which starts a job."""
+    bucket = bucket or bucket_width(samples, keys)
     by = samples.withColumns({"_b": F.floor(F.col("t") / bucket), "_s": F.struct(*columns)})
     order = F.struct("t", "ord")
     edges = by.groupBy(*keys, "_b").agg(F.max_by("_s", order).alias("_l"))
@@ -25,7 +27,7 @@ def with_previous(samples: DataFrame, keys: list[str], columns: list[str] = ["t"
     return by.withColumn("_p", F.lag("_s").over(w)).join(edges, [*keys, "_b"]).withColumn("prev", F.coalesce("_p", "_l")).drop("_p", "_l", "_s", "_b")
 
 
-def summary(samples: DataFrame, keys: list[str], bucket: float = DAY, per_second: float = 1_000_000) -> DataFrame:
+def summary(samples: DataFrame, keys: list[str], bucket: float | None = None, per_second: float = 1_000_000) -> DataFrame:
     """Over finite samples: n, min, max, mean, rms, std (population), first and last value, delta, span, gradient, integral (trapezoids).
 
     ``per_second``: units of t in a second. A single sample has integral, delta, span and gradient 0."""
@@ -39,7 +41,7 @@ def summary(samples: DataFrame, keys: list[str], bucket: float = DAY, per_second
     return out.withColumn("delta", F.col("last") - F.col("first")).withColumn("gradient", F.coalesce(F.try_divide("delta", "span"), F.lit(0.0)))
 
 
-def region_summary(samples: DataFrame, keys: list[str], start: float, stop: float, bucket: float = DAY) -> DataFrame:
+def region_summary(samples: DataFrame, keys: list[str], start: float, stop: float, bucket: float | None = None) -> DataFrame:
     """:func:`summary` of the part from start to stop, with interpolated ends."""
     part = cut(samples, keys, start, stop).withColumn("ord", F.lit(0).cast("long"))
     return summary(part, keys, bucket)
@@ -50,7 +52,7 @@ def shared_range(stats: DataFrame, axis: str) -> DataFrame:
     return stats.groupBy(axis).agg(F.coalesce(F.min("min"), F.lit(0.0)).alias("low"), F.coalesce(F.max("max"), F.lit(1.0)).alias("high"))
 
 
-def interval_median(samples: DataFrame, keys: list[str], bucket: float = DAY) -> DataFrame:
+def interval_median(samples: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
     """Median of the intervals between stamps."""
     d = with_previous(samples, keys, ["t"], bucket).where("prev IS NOT NULL").select(*keys, (F.col("t") - F.col("prev.t")).alias("d"))
     return d.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("median_interval"))
@@ -64,8 +66,9 @@ def reduce_for_plot(samples: DataFrame, keys: list[str], rows_per_pixel: int) ->
     return ends.select(*keys, "pixel", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_s")).select(*keys, "pixel", "_s.ordinal", "_s.t", "_s.v")
 
 
-def numbered(samples: DataFrame, keys: list[str], bucket: float = DAY) -> DataFrame:
+def numbered(samples: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
     """``ordinal``: 0, 1, … within a channel by (t, ord), from a row number per time bucket and the counts of the buckets before."""
+    bucket = bucket or bucket_width(samples, keys)
     by = samples.withColumn("_b", F.floor(F.col("t") / bucket))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = by.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

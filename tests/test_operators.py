@@ -254,6 +254,25 @@ def test_functions_of_the_user(spark):
     assert by_time(userfn.per_channel(f, ["k"], pairs), "t", "v") == [(float(i), 2.0 * i - 1) for i in range(1, 6)]
 
 
+def test_fields_at_any_bit(spark):
+    """Fields of 1 to 64 bits against whole numbers in Python."""
+    rng = np.random.RandomState(9)
+    rows = []
+    for _ in range(400):
+        data, size = rng.bytes(rng.randint(1, 17)), int(rng.randint(1, 65))
+        at, little = int(rng.randint(0, 8 * 9)), bool(rng.randint(2))
+        whole = data + b"\xff" * 40
+        if little:
+            want = int.from_bytes(whole, "little") >> at & (1 << size) - 1
+        else:
+            top = at // 8 * 8 + 7 - at % 8
+            want = int.from_bytes(whole, "big") >> (8 * len(whole) - top - size) & (1 << size) - 1
+        rows.append((bytearray(data), at, size, little, want - (1 << 64) if want >> 63 else want))
+    df = spark.createDataFrame(rows, "p binary, at int, size int, little boolean, want long")
+    got = df.select(bus.unsigned(F.col("p"), F.col("at"), F.col("size"), F.col("little")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 def test_nan_compares_as_in_numpy(spark):
     nan = float("nan")
     values = [1.0, nan, 5.0]
