@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.align import interpolate, union_timebase
+from ..operators.resample import raster, spans
 from .filters import sections
 
 
@@ -43,8 +44,12 @@ def argument(names: list[str], available: set[str]) -> str | float | None:
     raise ValueError(f"none of {names} is a channel or a number")
 
 
-def aligned(channels: dict[str, DataFrame], keys: list[str], trigger: str | None = None, stamps: DataFrame | None = None, bucket: float | None = None) -> DataFrame:
-    """(keys, t, a column per channel): on all stamps, on those of a ``trigger`` channel, or on given ``stamps(keys, t)``."""
+def aligned(channels: dict[str, DataFrame], keys: list[str], trigger: str | None = None, stamps: DataFrame | None = None, step: float | None = None, bucket: float | None = None) -> DataFrame:
+    """(keys, t, a column per channel): on all stamps, on those of a ``trigger`` channel, every ``step`` over the channels' spans, or on given ``stamps(keys, t)``."""
+    if step is not None:
+        every = reduce(DataFrame.unionByName, [f.select(*keys, "t") for f in channels.values()])
+        stamps = raster(spans(every, keys), keys, step)
+        channels = {n: f.withColumn("t", F.col("t").cast("double")) for n, f in channels.items()}
     base = stamps if stamps is not None else union_timebase(channels[trigger], keys=keys) if trigger else union_timebase(*channels.values(), keys=keys)
     return reduce(lambda out, item: interpolate(item[1], out, keys, "f", bucket=bucket).withColumnRenamed("v", item[0]), channels.items(), base)
 

@@ -189,6 +189,14 @@ def lin_trace(frames: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("t", "bus", "id", F.coalesce("message", F.lit("")).alias("message"), F.coalesce("error_kind", F.lit("LIN Frame")).alias("event"), F.length("payload").alias("dlc"), F.regexp_replace(F.hex("payload"), "(..)(?!$)", "$1 ").alias("data"))
 
 
+def chronological(*frames: DataFrame) -> DataFrame:
+    """Frames of several buses and kinds in one order of time; columns that a kind lacks are null."""
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.orderBy("t")
+
+
 def flexray_trace(frames: DataFrame, names: DataFrame) -> DataFrame:
     """A FlexRay trace: slot, cycle, channel, name of the frame where it is known, kind of event, size and data."""
     named = frames.join(names.select(F.col("message_id").alias("id"), "message"), "id", "left")

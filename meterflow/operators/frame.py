@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .align import beyond, both_ways, bucket_width, linear_value, previous_value
+from .align import beyond, both_ways, bucket_width, every_stamp, interpolate, linear_value, previous_value, union_timebase
 
 
 def wide_exact(samples: DataFrame, keys: list[str], channel: str, names: list[str]) -> DataFrame:
@@ -44,6 +44,22 @@ def wide(samples: DataFrame, keys: list[str], channel: str, names: list[str], li
     return filled.select(*keys, "t", *[value(i) for i in n])
 
 
+def group_frame(samples: DataFrame, catalogue: DataFrame, group: int, value: str = "physical") -> DataFrame:
+    """One channel group as a frame: a row for each record, a column for each channel by its unique name. A small job reads the group's names."""
+    own = catalogue.where(F.col("group_index") == group).select("channel_index", "name")
+    names = {r["channel_index"]: r["unique_name"] for r in unique_names(own, "name", ["channel_index"]).collect()}
+    rows = samples.where(F.col("group_index") == group).groupBy("ordinal", "t")
+    wide_rows = rows.pivot("channel_index", sorted(names)).agg(F.first(value))
+    return wide_rows.select("ordinal", "t", *[F.col(f"`{i}`").alias(names[i]) for i in sorted(names)])
+
+
+def on_common_timebase(samples: DataFrame, keys: list[str], channel: str, kind: str = "f", bucket: float | None = None) -> DataFrame:
+    """Signals of unequal timebases as one group: every channel, interpolated, at every stamp that any channel of its keys has."""
+    channels = samples.select(*keys, channel).distinct()
+    probes = every_stamp(channels, union_timebase(samples, keys=keys), keys)
+    return interpolate(samples, probes, [*keys, channel], kind, bucket=bucket)
+
+
 def long(wide_frame: DataFrame, t: str, columns: list[str]) -> DataFrame:
     """Ingest of a frame: its columns as channels on the timebase ``t``; nulls are no samples."""
     kept = [c for c in wide_frame.columns if c not in columns]

@@ -73,6 +73,16 @@ def stack(frames: list[tuple[DataFrame, int]], group: str = "group_index", start
     return out
 
 
+def remapped(samples: DataFrame, catalogue: DataFrame, reference: DataFrame) -> DataFrame:
+    """Samples of another recording under the numbers that ``reference`` has for its groups (by ``acq_name``) and channels (by name within a group).
+
+    Channels that the reference lacks are left out; :func:`same_structure` tells which they are."""
+    numbers = reference.select("acq_name", "name", F.col("group_index").alias("_g"), F.col("channel_index").alias("_c"))
+    found = catalogue.select("group_index", "channel_index", "acq_name", "name").join(numbers, ["acq_name", "name"]).select("group_index", "channel_index", "_g", "_c")
+    out = samples.join(found, ["group_index", "channel_index"])
+    return out.withColumns({"group_index": F.col("_g"), "channel_index": F.col("_c")}).drop("_g", "_c")
+
+
 def append_group(catalogue: DataFrame, samples: DataFrame, channels: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A new channel group behind the ones there are: ``channels(channel_index, name, …)`` and their ``values``. One small job finds its number."""
     number = catalogue.agg(F.coalesce(F.max("group_index") + 1, F.lit(0))).first()[0]

@@ -88,6 +88,20 @@ def longest_value(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.max(F.octet_length("v")).alias("size"))
 
 
+def contains(catalogue: DataFrame, name: str) -> bool:
+    """Whether a channel of that name is there. A job that ends at the first one found."""
+    return bool(catalogue.where(F.col("name") == name).take(1))
+
+
+def with_empty_channels(samples: DataFrame, catalogue: DataFrame, stamps: DataFrame | None = None, keys: list[str] = ["group_index", "channel_index"]) -> DataFrame:
+    """Channels without samples: left out, or, with ``stamps(group_index, t)``, zero at their group's stamps."""
+    out = samples.select(*keys, "t", "v")
+    if stamps is None:
+        return out
+    empty = catalogue.select(*keys).join(samples.select(*keys).distinct(), keys, "left_anti")
+    return out.unionByName(empty.join(stamps, "group_index").select(*keys, "t", F.lit(0.0).alias("v")))
+
+
 def iterate(samples: DataFrame, catalogue: DataFrame, keys: list[str] = ["group_index", "channel_index"]):
     """Names of channels in the catalogue's order, each with its samples as a frame that isn't computed before it is asked for."""
     for row in catalogue.select("name", *keys).orderBy(*keys).toLocalIterator():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import computed, convert
+from ..functions import computed, convert, userfn
 from ..model import event_samples
 from ..operators import align, bus, frame, merge, resample, select
 from ..sources import dbc, sinks
@@ -285,7 +285,52 @@ def conv_text_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", convert.convert(x, c).alias("text"), convert.convert(x, c, skip_text=True).alias("raw"), convert.convert(x.cast("double"), r).alias("ranged"))
 
 
-QUERIES = {f.__name__: f for f in [included_channels, display_names, cast_values, literal_filters, step_counts, gps_join, union_of_masters, conv_transferred, conv_text_skipped, get_channel, get_raster, raw_by_channel, group_information, trigger_list, longest_text, missing_columns, edge_rows, next_rounded, append_group, append_records, stack_sync, scatter_merge, xy_union, joint_validity, unary, single_raster, dbc_database, bus_labels, frame_names, half_floats, flexray_trace, asc_kinds, computed_columns, *map(_bits, ["and", "or", "xor"])]}
+def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    catalogue, s = _catalogue(spark, sf_dir)
+    return catalogue.withColumn("acq_name", F.concat(F.lit("rate "), F.col("group_index").cast("string"))), s
+
+
+def remapped_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a recording whose groups and channels are numbered backwards, under the numbers of the first one."""
+    catalogue, s = _signals(spark, sf_dir)
+    back = lambda df: df.withColumns({"group_index": 6 - F.col("group_index"), "channel_index": 4 - F.col("channel_index")})
+    out = merge.remapped(back(s), back(catalogue), catalogue.where("name <> 'error'"))
+    return out.select("group_index", "channel_index", "ordinal")
+
+
+def group_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue, s = _catalogue(spark, sf_dir)
+    return frame.group_frame(s, catalogue, 4)
+
+
+def common_timebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and errors of a user as one group on the union of their stamps."""
+    s = event_samples(spark, sf_dir).where("channel IN ('signup', 'error')")
+    return frame.on_common_timebase(s, ["user_id"], "channel").select("user_id", "channel", "t", F.round("v", 6).alias("v"))
+
+
+def empty_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of which no sample exceeds a bound, as zeros at the days of their group."""
+    catalogue, s = _catalogue(spark, sf_dir)
+    high = s.where("physical > 60 AND NOT (group_index = 2 AND channel_index = 1) AND NOT (group_index = 5 AND channel_index = 3)").withColumn("v", F.col("physical"))
+    days = high.select("group_index", (F.floor(F.col("t") / 86_400_000_000) * 86_400_000_000).alias("t")).distinct()
+    return select.with_empty_channels(high, catalogue, days)
+
+
+def buses_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two buses, one of them with a cycle, in one order."""
+    f = _frames(spark, sf_dir).select("bus", "id", "t")
+    return bus.chronological(f.where("bus = 'CAN1'"), f.where("bus = 'CAN2'").withColumn("cycle", F.col("id") % 3))
+
+
+def computed_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments of a computed channel every six hours over the span of both channels."""
+    a, b = (s.withColumn("t", (F.col("t") - F.lit(START_S * 1_000_000)) / 1_000_000) for s in _two(spark, sf_dir))
+    out = userfn.aligned({"a": a, "b": b}, ["user_id"], step=21600.0)
+    return out.select("user_id", F.round("t", 3).alias("t"), F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+QUERIES = {f.__name__: f for f in [remapped_channels, group_frame, common_timebase, empty_channels, buses_in_order, computed_by_step, included_channels, display_names, cast_values, literal_filters, step_counts, gps_join, union_of_masters, conv_transferred, conv_text_skipped, get_channel, get_raster, raw_by_channel, group_information, trigger_list, longest_text, missing_columns, edge_rows, next_rounded, append_group, append_records, stack_sync, scatter_merge, xy_union, joint_validity, unary, single_raster, dbc_database, bus_labels, frame_names, half_floats, flexray_trace, asc_kinds, computed_columns, *map(_bits, ["and", "or", "xor"])]}
 
 _FR = f"WITH {S}, f AS (SELECT 'CAN' || (user_id % 2 + 1) AS bus, user_id % 5 AS id, t, ord FROM s)"
 _HELD = f"""WITH {S}, g AS (SELECT * FROM s WHERE channel IN ('click', 'view')),
@@ -299,6 +344,12 @@ y AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JO
 SELECT user_id, t, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT user_id, t, {LINEAR} AS x FROM x) JOIN (SELECT user_id, t, {LINEAR} AS y FROM y) USING (user_id, t)"""
 
 ORACLE_SQL = {
+    "remapped_channels": f"{_CAT} SELECT group_index, channel_index, ordinal FROM c WHERE channel <> 'error'",
+    "group_frame": f"{_CAT} SELECT ordinal, t, CASE channel WHEN 'click' THEN physical END AS click, CASE channel WHEN 'error' THEN physical END AS error, CASE channel WHEN 'purchase' THEN physical END AS purchase, CASE channel WHEN 'signup' THEN physical END AS signup, CASE channel WHEN 'view' THEN physical END AS view FROM c WHERE group_index = 4",
+    "common_timebase": f"WITH {S}, q AS (SELECT * FROM s WHERE channel IN ('signup', 'error')), p AS (SELECT c.user_id, c.channel, d.t FROM (SELECT DISTINCT user_id, channel FROM q) c JOIN (SELECT DISTINCT user_id, t FROM q) d USING (user_id)), n AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JOIN q b ON p.user_id = b.user_id AND p.channel = b.channel AND p.t >= b.t ASOF LEFT JOIN q a ON p.user_id = a.user_id AND p.channel = a.channel AND p.t < a.t) SELECT user_id, channel, t, round({LINEAR}, 6) AS v FROM n",
+    "empty_channels": f"{_CAT}, h AS (SELECT group_index, channel_index, t, physical AS v FROM c WHERE physical > 60 AND NOT (group_index = 2 AND channel_index = 1) AND NOT (group_index = 5 AND channel_index = 3)), k AS (SELECT CAST(g AS INTEGER) AS group_index, CAST(i AS INTEGER) AS channel_index FROM range(7) a(g), range(5) b(i)), e AS (SELECT * FROM k WHERE (group_index, channel_index) NOT IN (SELECT (group_index, channel_index) FROM h)), d AS (SELECT DISTINCT group_index, t // 86400000000 * 86400000000 AS t FROM h) SELECT * FROM h UNION ALL SELECT group_index, channel_index, t, 0.0 FROM e JOIN d USING (group_index)",
+    "buses_in_order": f"{_FR} SELECT bus, id, t, CASE bus WHEN 'CAN2' THEN id % 3 END AS cycle FROM f",
+    "computed_by_step": f"WITH s AS (SELECT event_type AS channel, user_id, (epoch_us(ts) - {START_S}000000) / 1000000.0::DOUBLE AS t, value AS v FROM events WHERE event_type IN ('click', 'view')), m AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM s GROUP BY 1), p AS (SELECT user_id, lo + i * ((lo + 21600.0) - lo) AS t FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((hi - lo) / 21600.0) AS BIGINT), 1))) AS i FROM m)), x AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JOIN (SELECT * FROM s WHERE channel = 'click') b ON p.user_id = b.user_id AND p.t >= b.t ASOF LEFT JOIN (SELECT * FROM s WHERE channel = 'click') a ON p.user_id = a.user_id AND p.t < a.t), y AS (SELECT p.*, b.t AS bt, b.v AS bv, a.t AS nt, a.v AS av FROM p ASOF LEFT JOIN (SELECT * FROM s WHERE channel = 'view') b ON p.user_id = b.user_id AND p.t >= b.t ASOF LEFT JOIN (SELECT * FROM s WHERE channel = 'view') a ON p.user_id = a.user_id AND p.t < a.t) SELECT user_id, round(t, 3) AS t, round(x, 4) AS a, round(y, 4) AS b FROM (SELECT user_id, t, {LINEAR} AS x FROM x) JOIN (SELECT user_id, t, {LINEAR} AS y FROM y) USING (user_id, t)",
     "included_channels": "SELECT CAST(g AS INTEGER) AS group_index, CAST(c AS INTEGER) AS channel_index, ['click', 'error', 'purchase', 'signup', 'view'][c + 1] AS name FROM range(7) a(g), range(1, 5) b(c) WHERE NOT (g = 1 AND c IN (2, 3)) AND NOT (g = 5 AND c = 4)",
     "display_names": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'shown ' || s_suppkey ELSE s_name END AS shown FROM supplier",
     "cast_values": "SELECT o_orderkey, TRY_CAST(trunc(o_totalprice / 4) AS SMALLINT) AS v FROM orders",
