@@ -3,70 +3,100 @@
 Every document has a weight (UTF-8 bytes of its text plus 1) and metadata dimensions. A node is cut along its widest
 dimension (relative to that dimension's whole range) at the weighted median, until there are as many leaves as shards
 or each leaf holds the target bytes. A median is found by refining a histogram of 60-bit keys, 12 bits a pass: each
-pass is one grouped sum, and at most 4096 sums a node reach the driver, whatever the number of rows.
+pass is one grouped sum, of which the bin that holds the median is picked on Spark. What reaches the driver is a row per node, whatever the number of rows;
+small tables of a row per node tell the rows where they go.
 
 The key of a row is its dimension's value (30 bits) followed by a hash of its text (30 bits), so equal texts share a
 shard; texts whose copies together weigh more than a sixteenth of a leaf are spread by doc_id instead, or
 no cut could be even. Defined cases: a null text weighs 1; null or NaN dimensions count as the lowest value; repeated rows are
-all placed; texts may be of any length; other columns are kept, but for names that begin as this module's own (_w, _copies, _node, _d0, _k0 and so
-on); an empty table gives no rows. With ``target_bytes`` the cuts of all leaves pass through the driver, so that is for up to some thousands of leaves.
+all placed; texts may be of any length; other columns are kept, whatever their names, but for one
+named shard, which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import gapless_rank, materialize
+from .shared import gapless_rank, materialize, quoted
 
 BITS, PASSES = 12, 5
 
 
-def _key(i: int) -> Column:
-    return F.col(f"_k{i}")
+class _Names:
+    """Names of this module's own columns, none of which begins as a column of the input does."""
 
+    def __init__(self, docs: DataFrame):
+        prefix = "_kd"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        self.weight, self.copies, self.node, self.dim, self.cut, self.hot = (f"{prefix}{n}" for n in ("weight", "copies", "node", "dim", "cut", "hot"))
+        self.prefix = prefix
 
-def _medians(rows: DataFrame, nodes: dict[int, tuple[int, float]]) -> dict[int, int]:
-    """For each node (dimension, share of weight wanted on the left) the 60-bit key at which to cut: left is below it."""
-    key = F.coalesce(*[F.when(F.col("_node").isin(*[n for n, (d, _) in nodes.items() if d == i]), _key(i)) for i in {d for d, _ in nodes.values()}])
-    keyed = rows.where(F.col("_node").isin(*nodes)).select(F.col("_node").alias("node"), key.alias("key"), "_w")
+    def value(self, i: int) -> str:
+        return f"{self.prefix}d{i}"
+
+    def key(self, i: int) -> str:
+        return f"{self.prefix}k{i}"
+
+
+def _table(rows: DataFrame, names: _Names, values: dict[int, tuple[int, int]]) -> DataFrame:
+    """A row per node: its dimension and a key. Nodes are as many as leaves at most, 24 bytes each."""
+    schema = f"{names.node} long, {names.dim} int, {names.cut} long"
+    return F.broadcast(rows.sparkSession.createDataFrame([(n, d, k) for n, (d, k) in values.items()], schema))
+
+
+def _key_of(names: _Names, dims: int) -> Column:
+    return F.get(F.array(*[F.col(names.key(i)) for i in range(dims)]), F.col(names.dim))
+
+
+def _medians(rows: DataFrame, names: _Names, dims: int, nodes: dict[int, tuple[int, float]]) -> dict[int, int]:
+    """For each node (dimension, share of weight wanted on the left) the 60-bit key at which to cut: left is below it.
+
+    A pass sums 4096 bins a node and picks the one that holds the median, all on Spark; a row per node comes to the driver."""
     prefix, want = dict.fromkeys(nodes, 0), {}
+    whole = Window.partitionBy("node")
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     for k in range(PASSES):
         shift = BITS * (PASSES - 1 - k)
-        bins = F.shiftright("key", shift)
-        at = F.coalesce(*[F.when(F.col("node") == n, F.lit(p)) for n, p in prefix.items()])
-        sums = keyed.where(F.shiftright(bins, BITS) == at).groupBy("node", bins.alias("bin")).agg(F.sum("_w").alias("w")).orderBy("node", "bin").collect()
-        by: dict[int, list] = {}
-        for r in sums:
-            by.setdefault(r["node"], []).append((r["bin"], r["w"]))
-        for n, found in by.items():
-            want.setdefault(n, nodes[n][1] * sum(w for _, w in found))
-            for b, w in found:
-                if want[n] < w or b == found[-1][0]:
-                    break
-                want[n] -= w
-            prefix[n] = b
-            if k == PASSES - 1 and want[n] > w / 2:
-                prefix[n] = b + 1
+        placed = rows.join(_table(rows, names, {n: (d, prefix[n]) for n, (d, _) in nodes.items()}), names.node).select(F.col(names.node).alias("node"), F.col(names.cut).alias("at"), F.shiftright(_key_of(names, dims), shift).alias("bin"), F.col(names.weight).alias("w"))
+        sums = placed.where(F.shiftright("bin", BITS) == F.col("at")).groupBy("node", "bin").agg(F.sum("w").alias("w"))
+        sums = sums.withColumns({"upto": F.sum("w").over(upto), "total": F.sum("w").over(whole), "last": F.max("bin").over(whole)})
+        share = F.col("total") if k == 0 else F.lit(1.0)
+        goal = _table_of_goals(rows, {n: want.get(n, nodes[n][1]) for n in nodes})
+        picked = sums.join(goal, "node").where((F.col("upto") > F.col("goal") * share) | (F.col("bin") == F.col("last")))
+        found = picked.groupBy("node").agg(F.min(F.struct("bin", "w", "upto", "total")).alias("x")).select("node", "x.*").collect()
+        for r in found:
+            n = r["node"]
+            if k == 0:
+                want[n] = nodes[n][1] * r["total"]
+            want[n] -= r["upto"] - r["w"]
+            prefix[n] = r["bin"] + int(k == PASSES - 1 and want[n] > r["w"] / 2)
     return prefix
 
 
+def _table_of_goals(rows: DataFrame, goals: dict[int, float]) -> DataFrame:
+    return F.broadcast(rows.sparkSession.createDataFrame([(n, float(g)) for n, g in goals.items()], "node long, goal double"))
+
+
 def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, copies: Column, spread: Column, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """``docs`` with column shard (0 to the number of shards - 1), as a table in the shared folder. Give ``shards`` or ``target_bytes``."""
-    names = list(dims)
-    rows = docs.withColumns({"_w": weight, "_copies": copies, **{f"_d{i}": F.coalesce(F.nanvl(dims[n].cast("double"), F.lit(None)), F.lit(float("-inf"))) for i, n in enumerate(names)}})
-    finite = [F.when(F.abs(F.col(f"_d{i}")) != float("inf"), F.col(f"_d{i}")) for i in range(len(names))]
-    whole = rows.agg(F.sum("_w").alias("w"), *[f(finite[i]).alias(f"{f.__name__}{i}") for i in range(len(names)) for f in (F.min, F.max)]).first()
+    names, d = _Names(docs), range(len(dims))
+    w = names.weight
+    rows = docs.withColumns({w: weight, names.copies: copies, **{names.value(i): F.coalesce(F.nanvl(c.cast("double"), F.lit(None)), F.lit(float("-inf"))) for i, c in enumerate(dims.values())}})
+    finite = [F.when(F.abs(F.col(names.value(i))) != float("inf"), F.col(names.value(i))) for i in d]
+    whole = rows.agg(F.sum(w).alias("w"), *[f(finite[i]).alias(f"{f.__name__}{i}") for i in d for f in (F.min, F.max)]).first()
     total = whole["w"] or 0
     leaves = shards or max(1, -(-total // target_bytes))
-    hot = [r[0] for r in rows.groupBy("_copies").agg(F.sum("_w").alias("w")).where(F.col("w") * (16 * leaves) > total).collect()]  # at most 16 * leaves
-    tie = F.pmod(F.when(F.col("_copies").isin(hot), F.xxhash64(spread)).otherwise(F.xxhash64("_copies")) if hot else F.xxhash64("_copies"), F.lit(1 << 30))
-    for i in range(len(names)):
+    hot = rows.groupBy(names.copies).agg(F.sum(w).alias("w")).where(F.col("w") * (16 * leaves) > total).select(names.copies, F.lit(True).alias(names.hot))
+    rows = rows.join(F.broadcast(hot), names.copies, "left")  # at most 16 rows a leaf
+    tie = F.pmod(F.when(F.col(names.hot), F.xxhash64(spread)).otherwise(F.xxhash64(names.copies)), F.lit(1 << 30))
+    for i in d:
         low, high = whole[f"min{i}"], whole[f"max{i}"]
-        scaled = F.lit(0.0) if low is None or high == low else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(f"_d{i}") - low) / (high - low)))
-        rows = rows.withColumn(f"_k{i}", F.shiftleft(F.floor(scaled * ((1 << 30) - 1)).cast("long"), 30) + tie)
-    rows = materialize(rows.drop("_copies", *[f"_d{i}" for i in range(len(names))]), "shards")
-    rows = rows.withColumn("_node", F.lit(1))
+        scaled = F.lit(0.0) if low is None or high == low else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(names.value(i)) - low) / (high - low)))
+        rows = rows.withColumn(names.key(i), F.shiftleft(F.floor(scaled * ((1 << 30) - 1)).cast("long"), 30) + tie)
+    rows = materialize(rows.drop(names.copies, names.hot, *[names.value(i) for i in d]), "shards")
+    rows = rows.withColumn(names.node, F.lit(1).cast("long"))
     sizes, at, done = {1: leaves}, {1: 0}, {}
     while True:
         for k in [k for k, n in sizes.items() if n == 1]:
@@ -74,19 +104,19 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, copies:
             del sizes[k]
         if not sizes:
             break
-        wide = rows.groupBy("_node").agg(*[f(F.shiftright(_key(i), 30)).alias(f"{f.__name__}{i}") for i in range(len(names)) for f in (F.min, F.max)]).collect()
-        width = {r["_node"]: max(range(len(names)), key=lambda i: (r[f"max{i}"] - r[f"min{i}"], -i)) for r in wide}
+        wide = rows.groupBy(names.node).agg(*[f(F.shiftright(names.key(i), 30)).alias(f"{f.__name__}{i}") for i in d for f in (F.min, F.max)]).collect()  # a row per node
+        width = {r[names.node]: max(d, key=lambda i: (r[f"max{i}"] - r[f"min{i}"], -i)) for r in wide}
         plan = {k: (width.get(k, 0), (n // 2) / n) for k, n in sizes.items()}
-        cuts = _medians(rows, plan)
-        step = F.col("_node")
+        cuts = _medians(rows, names, len(dims), plan)
+        split = rows.join(_table(rows, names, {k: (plan[k][0], cuts[k]) for k in sizes}), names.node, "left")
+        rows = split.withColumn(names.node, F.when(F.col(names.cut).isNull(), F.col(names.node)).when(_key_of(names, len(dims)) < F.col(names.cut), F.col(names.node) * 2).otherwise(F.col(names.node) * 2 + 1)).drop(names.dim, names.cut)
         for k, n in [*sizes.items()]:
-            step = F.when(F.col("_node") == k, F.when(_key(plan[k][0]) < cuts[k], 2 * k).otherwise(2 * k + 1)).otherwise(step)
             sizes |= {2 * k: n // 2, 2 * k + 1: n - n // 2}
             at |= {2 * k: at[k], 2 * k + 1: at[k] + n // 2}
             del sizes[k]
-        rows = rows.withColumn("_node", step)
-    shard = F.element_at(F.create_map(*[F.lit(x) for pair in done.items() for x in pair]), F.col("_node"))
-    return rows.withColumn("shard", shard).drop("_w", "_node", *[f"_k{i}" for i in range(len(names))])
+    shard = F.broadcast(rows.sparkSession.createDataFrame([*done.items()], f"{names.node} long, shard int"))
+    kept = [c for c in docs.columns if c != "shard"]
+    return rows.drop("shard").join(shard, names.node).select(*quoted(kept), "shard")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
