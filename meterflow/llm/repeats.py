@@ -381,7 +381,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ..
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("b")).first()["b"] or 0
     more = max(1.0, total / SMALL_BYTES) ** 0.5
     group_bytes = group_bytes or max(1, min(int(GROUP_BYTES[0] * more), GROUP_BYTES[1], -(-total // 48)))
-    shards = max(-(-total // (14 * (shard_entries or min(int(SHARD_ENTRIES[0] * more), SHARD_ENTRIES[1])))), 64)
+    shards = max(-(-total // (14 * (shard_entries or min(int(SHARD_ENTRIES[0] * more), SHARD_ENTRIES[1])))), 16)
     context = docs.sparkSession.sparkContext
     ranges = context.broadcast(group_ranges(docs, group_bytes, total))
     hot = context.broadcast(hot_leads(docs, total, most_segments))
