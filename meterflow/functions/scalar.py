@@ -11,6 +11,15 @@ def round_half_even(x: Column, digits: int) -> Column:
     return F.rint(x * float(10**digits)) / float(10**digits)
 
 
+def round_half_away(x: Column, digits: int) -> Column:
+    """Rounding of the scaled binary value, halves away from zero, as SQL engines on doubles do. ``F.round`` rounds the decimal text instead:
+    2.56125, whose ten-thousands are 25612.499999999996, is 2.5612 here and 2.5613 there."""
+    scaled = x * float(10**digits)
+    whole = F.rint(scaled)
+    away = F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole)
+    return F.when(F.abs(scaled) < float("inf"), away / float(10**digits)).otherwise(x)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 

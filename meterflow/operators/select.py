@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_half_away
+
 
 class ChannelError(ValueError):
     """A channel that isn't there, or of which there are several."""
@@ -208,10 +210,14 @@ def first_range(value: Column, ranges: list[tuple]) -> Column:
 
 def next_match(samples: DataFrame, channel: str, after: float, test: Column, forward: bool = True, digits: int | None = None) -> DataFrame:
     """(t, channel) of the earliest sample after a stamp (the latest before it, if not ``forward``) that passes; one row, null if none.
+    Of samples of that stamp the first by ``ord`` that has a ``channel`` gives it.
     With ``digits`` stamps are rounded first, so that those a rounding apart from the start don't count as later."""
-    samples, after = (samples.withColumn("t", F.round("t", digits)), round(after, digits)) if digits is not None else (samples, after)
-    some = samples.where(test & (F.col("t") > after if forward else F.col("t") < after))
-    return some.agg((F.min("t") if forward else F.max("t")).alias("t"), (F.min_by if forward else F.max_by)(channel, "t").alias(channel))
+    start = F.lit(after)
+    if digits is not None:
+        samples, start = samples.withColumn("t", round_half_away(F.col("t"), digits)), round_half_away(start, digits)
+    some = samples.where(test & (F.col("t") > start if forward else F.col("t") < start))
+    place = F.when(F.col(channel).isNotNull(), F.struct("t", (F.col("ord") if forward else -F.col("ord")).alias("o")))
+    return some.agg((F.min("t") if forward else F.max("t")).alias("t"), (F.min_by if forward else F.max_by)(channel, place).alias(channel))
 
 
 def next_different(samples: DataFrame, keys: list[str], at: float, mode: str = "different", forward: bool = True) -> DataFrame:

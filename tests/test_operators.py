@@ -406,6 +406,40 @@ def test_scalars(spark):
     assert str(one(scalar.absolute(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(1.5)))) == "2024-01-01 00:00:01.500000"
 
 
+def test_next_match_takes_the_first_of_a_stamp(spark):
+    """Stamps that rounding makes equal: the sample of the least ``ord`` counts, whichever partition it lies in."""
+    rows = [("p", i, 100.0 + i / 10_000, 60.0) for i in range(200)]  # 50 to 149 are 100.01 in hundredths
+    first = lambda s, *a: tuple(select.next_match(s, "ord", *a, digits=2).first())
+    for order in (rows, rows[::-1], random.Random(7).sample(rows, 200)):
+        s = samples(spark, order).repartition(5, "ord")
+        assert first(s, 100.004, F.col("v") > 50) == (100.01, 50)
+        assert first(s, 100.02, F.col("v") > 50, False) == (100.01, 50)
+    assert first(samples(spark, [("p", None, 100.01, 60.0), ("p", 3, 100.01, 60.0)]), 100.0, F.col("v") > 50) == (100.01, 3)
+    assert first(samples(spark, [("p", 1, 100.005, 60.0)]), 100.005, F.col("v") > 50) == (None, None)  # rounded as the start is
+
+
+def test_next_rounded_with_its_sql(spark, data, tmp_path):
+    """Five copies of the events with other keys: purchases within a rounding are taken by event_id, as one thread of the SQL reads them."""
+    import duckdb
+
+    from meterflow.plans import records as plans
+
+    db = duckdb.connect(config={"threads": 1})
+    db.sql(f"COPY (SELECT * REPLACE (event_id + k * 100000 AS event_id, user_id + k * 1500 AS user_id) FROM range(5) r(k), '{data}/sf0.1/events.parquet' ORDER BY event_id) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert tuple(plans.next_rounded(spark, str(tmp_path)).select("t", "ord").first()) == db.execute(plans.ORACLE_SQL["next_rounded"]).fetchone()
+
+
+def test_rounding_as_sql(spark):
+    """Halves and near-halves, ends of the range and signs of zero, as the SQL of the queries rounds."""
+    import duckdb
+
+    r = random.Random(5)
+    x = [2.56125, -2.56125, 0.00005, -0.00001, 0.0, 1e300, 1e305, -1.5e308, 1e18, float("inf"), float("nan"), None, 0.49999999999999994e-4, *[i / 100_000 for i in range(-50, 2000, 5)], *[r.uniform(-1e6, 1e6) for _ in range(200)]]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", scalar.round_half_away(F.col("x"), 4).alias("x")).orderBy("i").collect()
+    assert [str(row["x"]) for row in got] == [str(duckdb.execute("SELECT round($1::DOUBLE, 4)", [v]).fetchone()[0]) for v in x]
+
+
 def test_report_of_stamps_over_bucket_edges(spark):
     s = samples(spark, [("a", i, t, 0.0) for i, t in enumerate([1.0, 2.0, 2.0, 1.5, 3.0])])
     assert [r["ord"] for r in cut.increasing(s, ["channel"], bucket=2).orderBy("ord").collect()] == [0, 1, 4]
