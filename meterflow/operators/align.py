@@ -144,7 +144,7 @@ OPERATORS = {
     "add": lambda x, y: x + y,
     "sub": lambda x, y: x - y,
     "mul": lambda x, y: x * y,
-    "div": lambda x, y: F.when(y != 0, x / y).when(F.isnan(x) | F.isnan(y) | (x == 0), F.lit(float("nan"))).otherwise(F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))),
+    "div": lambda x, y: F.when(y != 0, x / y).when(y.isNotNull(), F.when(F.isnan(x) | (x == 0), F.lit(float("nan"))).otherwise(F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))),
     "floordiv": lambda x, y: F.floor(F.try_divide(x, y)).cast("double"),
     "mod": lambda x, y: x - y * F.floor(F.try_divide(x, y)),
     "pow": lambda x, y: F.pow(x, y),

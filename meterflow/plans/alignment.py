@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_half_away
 from ..model import DAY, event_samples
 from ..operators import align, cut, frame, resample
 
@@ -97,7 +98,7 @@ def _arith(operator: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, b = _two(spark, sf_dir)
         out = align.combine(a, b, ["user_id"], operator)
-        return out.select("user_id", "t", (F.round("v", 4) if dict(out.dtypes)["v"] == "double" else F.col("v")).alias("v"))
+        return out.select("user_id", "t", (round_half_away(F.col("v"), 4) if dict(out.dtypes)["v"] == "double" else F.col("v")).alias("v"))
 
     query.__name__ = f"signal_{operator}"
     return query

@@ -440,6 +440,24 @@ def test_rounding_as_sql(spark):
     assert [str(row["x"]) for row in got] == [str(duckdb.execute("SELECT round($1::DOUBLE, 4)", [v]).fetchone()[0]) for v in x]
 
 
+def test_quotients_with_their_sql(spark, tmp_path):
+    """Quotients beside a half of the fourth decimal, by zero, of zero, beside nulls; all operators whose SQL rounds, digit by digit."""
+    import duckdb
+
+    from meterflow.plans import alignment as plans
+
+    r, rows = random.Random(3), [(20.49, 8.0), (2.05, 0.8), (5.0, 0.0), (0.0, 0.0), (0.0, 8.0), (5.0, None), (None, 8.0), (0.0, None), (None, None)]
+    rows += [(r.randrange(1, 60_000) / 100, r.choice([0.16, 0.32, 0.8, 1.28, 1.6, 3.2, 6.4, 8.0, 16.0])) for _ in range(400)]
+    values = [(2 * i + k, f"2024-01-01 00:00:00.{i:06d}", i // 3, kind, v) for i, pair in enumerate(rows) for k, (kind, v) in enumerate(zip(("click", "view"), pair))]
+    spark.createDataFrame(values, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("signal_div", "signal_mul", "signal_add", "signal_sub", "signal_mod"):
+        got = plans.QUERIES[name](spark, str(tmp_path)).select("user_id", "t", "v").collect()
+        want = db.execute(f"SELECT user_id, t, v FROM ({plans.ORACLE_SQL[name]})").fetchall()
+        assert len(got) == len(rows) and sorted((u, t, str(v)) for u, t, v in got) == sorted((u, t, str(v)) for u, t, v in want), name
+
+
 def test_report_of_stamps_over_bucket_edges(spark):
     s = samples(spark, [("a", i, t, 0.0) for i, t in enumerate([1.0, 2.0, 2.0, 1.5, 3.0])])
     assert [r["ord"] for r in cut.increasing(s, ["channel"], bucket=2).orderBy("ord").collect()] == [0, 1, 4]
