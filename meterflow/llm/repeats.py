@@ -4,9 +4,11 @@ A suffix array of everything in one place can't be spread, so strings are dealt
 
 * Documents lie in groups by ranges of doc_id, cut where their bytes add up to a group's. Within a text, consecutive
   50-byte strings with the same least 20-byte hash form a segment; equal strings always meet under equal least hashes.
-* Groups send (least hash, segment hash) to shards, once a group. A shard answers, for each: nothing (no other
-  document has that hash), seen (a smaller range has the whole segment), or wanted (the segment may share strings
-  with others). Only wanted segments are sent as bytes, once a group.
+* Groups send (least hash, segment hash, 16 bits each for what lies left and right of the least hash) to shards, once a group.
+  A shard answers, for each: nothing (it can't share a string with another document), seen (a smaller range has the whole
+  segment), or wanted (it may share strings with others). Only wanted segments are sent as bytes, once a group.
+* A string of 50 bytes holds its least 20 with 15 bytes before or with 15 bytes after them, so segments that share one agree in the
+  20-byte hash 15 bytes to the left or to the right, as far as they reach. Most segments that only share a phrase don't.
 * A shard sorts the suffixes of its segments by induced sorting, computes permuted common prefixes, and finds the
   smallest owner of each 50-byte string. Ranges go back to the groups, which cut them out of the texts.
 
@@ -37,19 +39,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, remove_tables
+from .shared import materialize, remove_tables, runs
 from .suffixarray import repeated
 from .textbatch import BYTE, STEP, TextBatch, large, mixed, offsets, pieces, powers
 
 WIDTH, LEAST = 50, 20
+#: Bytes by which a string reaches beyond its least part on one side or the other.
+BESIDE = (WIDTH - LEAST) // 2
 #: Bytes of text in a group and entries in a shard, for small and for large inputs; bytes that are sorted at once.
-GROUP_BYTES, SHARD_ENTRIES, SORT_BYTES = (6 << 20, 32 << 20), (1_000_000, 3_000_000), 2 << 20
+GROUP_BYTES, SHARD_ENTRIES, SORT_BYTES = (6 << 20, 32 << 20), (1_000_000, 3_000_000), 3 << 18
 #: Input at which a group and a shard begin to grow.
 SMALL_BYTES = 850 << 20
 #: Different segments of one least hash beyond which they are sent as single strings; bytes of text in which such hashes are looked for.
 MOST_SEGMENTS, SAMPLE_BYTES = 4_000, 16 << 20
-#: A longer text is hashed in parts.
-PART_BYTES = 2 << 20
+#: A longer text is hashed in parts; bytes of text that are hashed at once, so that arrays stay in a core's cache.
+PART_BYTES, PIECE_BYTES = 2 << 20, 1 << 17
 LAST = (1 << 63) - 1
 #: Byte values of a second hash.
 OTHER = mixed(BYTE * STEP)
@@ -75,6 +79,20 @@ def in_order(ids: np.ndarray, texts: pa.Array) -> np.ndarray:
     return np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_buffer().to_pybytes() if texts[i].as_buffer() else b"")), np.int64)
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """1 to 65535 from a hash; 0 stands for a segment that doesn't reach so far."""
+    return (h % np.uint64(65535)).astype("<u2") + np.uint16(1)
+
+
+#: No segments: row, first byte, size, least hash, short hashes left and right of it, two hashes of the whole.
+NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) + (np.zeros(0, "<u2"),) * 2 + (np.zeros(0, np.uint64),) * 2
+
+
+def _each(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each range of ``size``, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Segments:
     """Segments of a group's texts. ``rows``: order of the group's rows by doc_id and text; segments name a row by it."""
 
@@ -84,14 +102,14 @@ class Segments:
         self.rows = in_order(ids, texts)
         self.ids, self.texts = ids[self.rows], texts.take(pa.array(self.rows))
         parts, of, base = _parts(self.texts)
-        found = [self._of(parts.slice(a, b - a), of[a:b], base[a:b]) for a, b in pieces(parts)]
-        row, start, size, least, content, check = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+        found = [self._of(parts.slice(a, b - a), of[a:b], base[a:b]) for a, b in pieces(parts, PIECE_BYTES)] or [NONE]
+        row, start, size, least, left, right, content, check = (np.concatenate(x) for x in zip(*found))
         is_hot = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
         shard = (np.where(is_hot, mixed(content * STEP), least >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         lead = (least & np.uint64(0x3FFFFFFF)).astype(np.uint32)
         # entries of equal content and different check may lie mixed: they are wanted then, and told apart by their bytes
-        order = np.lexsort((row << 32 | start, content, shard << 32 | lead))
-        self.row, self.start, self.size, self.shard, self.lead, self.content, self.check, self.hot = (x[order] for x in (row, start, size, shard, lead, content, check, is_hot))
+        order = np.lexsort((content, shard << 32 | lead))  # stable: equal ones stay in order of row and start
+        self.row, self.start, self.size, self.shard, self.lead, self.left, self.right, self.content, self.check, self.hot = (x[order] for x in (row, start, size, shard, lead, left, right, content, check, is_hot))
         self.by_least = least[order].view(np.int64)
         #: Entries: runs of equal shard, lead and content; the first occurrence is in the smallest document.
         start_of = np.ones(len(order), bool)
@@ -113,9 +131,8 @@ class Segments:
         batch = TextBatch(parts)
         buf = batch.buf
         n = len(buf) - LEAST + 1
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
         if n < WIDTH - LEAST + 1:
-            return none
+            return NONE
         up, down = powers(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(BYTE[buf] * up[:-1], out=sums[1:])
@@ -130,7 +147,7 @@ class Segments:
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         long = np.flatnonzero(batch.size >= WIDTH)
         if not len(long):
-            return none
+            return NONE
         first, stop = batch.start[long], batch.end[long] - WIDTH + 1  # string positions of each text
         inside = np.zeros(len(at) + 1, np.int8)
         inside[first] += 1
@@ -145,12 +162,18 @@ class Segments:
         content = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * STEP)
         np.cumsum(OTHER[buf] * up[:-1], out=sums[1:])
         check = mixed((sums[e] - sums[s]) * down[s]) >> np.uint64(32)
-        part = long[doc]
-        return rows[part], base[part] + s - first[doc], e - s, h[at[s]], content, check
+        part, p = long[doc], at[s]
+        left = np.where(p - BESIDE >= s, _short(h[np.maximum(p - BESIDE, 0)]), np.uint16(0))
+        right = np.where(p + BESIDE + LEAST <= e, _short(h[np.minimum(p + BESIDE, n - 1)]), np.uint16(0))
+        return rows[part], base[part] + s - first[doc], e - s, h[p], left, right, content, check
 
-    def bytes(self, i: int) -> bytes:
-        text = self.texts[int(self.row[i])].as_buffer()
-        return text.slice(int(self.start[i]), int(self.size[i])).to_pybytes()
+    def buffer(self) -> np.ndarray:
+        data = self.texts.buffers()[2]
+        return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+    def lies(self, i: np.ndarray) -> np.ndarray:
+        """First bytes of segments in :meth:`buffer`."""
+        return offsets(self.texts)[self.row[i]] + self.start[i]
 
     def by_shard(self):
         cut = np.flatnonzero(np.diff(self.shard[self.entry])) + 1
@@ -179,19 +202,29 @@ def _send(shards: int, hot: Broadcast):
         for s, a, b in seg.by_shard():
             at = seg.entry[a:b]
             flags = seg.several[a:b].astype(np.uint32) | seg.hot[at].astype(np.uint32) << np.uint32(1)
-            rows.append((s, gid, order, _pack(seg.lead[at] << np.uint32(2) | flags, seg.content[at], seg.check[at].astype("<u4"))))
+            rows.append((s, gid, order, _pack(seg.lead[at] << np.uint32(2) | flags, seg.content[at], seg.check[at].astype("<u4"), seg.left[at], seg.right[at])))
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "gid", "range", "entries"), zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
 
     return run
 
 
+def _several(key: np.ndarray) -> np.ndarray:
+    """Whether a key is there more than once."""
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.empty(len(key), bool)
+    out[order] = ~(new & np.append(new[1:], True)[: len(key)])
+    return out
+
+
 def _answer(most_segments: int):
     """Codes for a shard's entries: 0 nothing, 1 seen in a smaller range, 2 wanted, 3 wanted as single strings."""
 
     def run(key, table):
         rows = sorted(zip(table.column("range").to_pylist(), table.column("gid").to_pylist(), table.column("entries").to_pylist()))
-        each, contents, checks = zip(*(_unpack(e, "<u4", "<u8", "<u4") for *_, e in rows))
-        sent, content, check = np.concatenate(each), np.concatenate(contents), np.concatenate(checks)
+        each, *others = zip(*(_unpack(e, "<u4", "<u8", "<u4", "<u2", "<u2") for *_, e in rows))
+        sent, content, check, left, right = (np.concatenate(x) for x in (each, *others))
         place = np.repeat(np.array([r for r, *_ in rows]), [len(e) for e in each])
         order = np.lexsort((place, content, sent >> np.uint32(2)))
         flags, lead, content, check, place = sent[order] & np.uint32(3), sent[order] >> np.uint32(2), content[order], check[order], place[order]
@@ -205,9 +238,16 @@ def _answer(most_segments: int):
         hot = np.logical_or.reduceat(flags & np.uint32(2) > 0, at)
         shared = hot | np.logical_or.reduceat(flags & np.uint32(1) > 0, at) | (np.minimum.reduceat(place, at) < np.maximum.reduceat(place, at))
         different = np.add.reduceat(first.astype(np.int64), at)
-        kind = np.where(hot | (different > most_segments), 3, np.where(different >= 2, 2, 0))
+        # different segments that agree with another one beside the least hash; those of a hot one are in several shards
+        one = np.flatnonzero(first)
+        some = np.flatnonzero((shared & ~hot & (different >= 2))[group[one]])
+        linked = np.zeros(len(one), bool)
+        for side in (left, right):
+            beside = side[order[one[some]]]
+            linked[some] |= _several(group[one[some]] << 16 | beside) & (beside > 0)
+        kind = np.where(hot[group], 3, np.where(linked[np.cumsum(first) - 1], np.where(different > most_segments, 3, 2)[group], 0))
         answer = np.empty(len(lead), np.uint8)
-        answer[order] = np.where(shared[group], np.where(again, 1, kind[group]), 0)
+        answer[order] = np.where(shared[group], np.where(again, 1, kind), 0)
         cut = np.cumsum([0] + [len(e) for e in each])
         packed = [zlib.compress(answer[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
         return pa.table({"gid": pa.array([r[1] for r in rows], pa.int64()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "codes": pa.array(packed, pa.binary())})
@@ -215,6 +255,25 @@ def _answer(most_segments: int):
     return run
 
 
+def _strings(seg: Segments, buffer: np.ndarray, entries: np.ndarray, own: np.ndarray, shards: int):
+    """Single strings of entries, once for equal bytes and owner: (shard, least hash, owner, place, size), then (number, row) and first byte of all places where they lie."""
+    first = seg.entry[entries]
+    n = seg.size[first] - WIDTH + 1
+    of, shift = np.repeat(np.arange(len(entries)), n), _each(np.zeros(len(n), np.int64), n)
+    place, owner = seg.lies(first)[of] + shift, seg.owner[entries][of]
+    wide = np.concatenate((buffer[place[:, None] + np.arange(WIDTH)], owner.astype("<i8").view(np.uint8).reshape(-1, 8)), 1)
+    _, at, number = np.unique(np.ascontiguousarray(wide).view(f"V{WIDTH + 8}").ravel(), return_index=True, return_inverse=True)
+    hashes = np.array([int.from_bytes(hashlib.blake2b(wide[i, :WIDTH], digest_size=8).digest(), "little") for i in at.tolist()], np.uint64)
+    sent = ((hashes % np.uint64(shards)).astype(np.int64), np.uint64(1 << 40) | hashes >> np.uint64(32), owner[at], place[at], np.full(len(at), WIDTH))
+    # the segments of each entry that its owner has, for each of its strings
+    mine = np.flatnonzero(own)
+    low, high = np.searchsorted(mine, first), np.searchsorted(mine, np.append(seg.entry[1:], len(own))[entries])
+    copies = (high - low)[of]
+    where, k = mine[_each(low[of], copies)], np.repeat(np.arange(len(of)), copies)
+    by = np.argsort(number[k], kind="stable")
+    return sent, (number[k][by], seg.row[where][by]), (seg.start[where] + shift[k])[by]
+
+
 def _ask(shards: int, hot: Broadcast):
     """A group's own table (its ranges that go, and where its wanted segments lie), which is passed on to it, and the bytes of wanted segments by shard."""
 
@@ -227,31 +286,25 @@ def _ask(shards: int, hot: Broadcast):
         answer = np.zeros(len(seg.entry), np.uint8)
         for s, a, b in seg.by_shard():
             answer[a:b] = np.frombuffer(zlib.decompress(codes[s]), np.uint8)
-        gone = (answer[seg.of] == 1) | ~seg.is_owner if len(seg.of) else np.zeros(0, bool)
-        ends = np.append(seg.entry[1:], len(seg.of))
-        where: dict[int, list] = {}  # by shard: least hash, owner, bytes, number
-        lies: list[tuple[np.ndarray, np.ndarray]] = []  # by number: rows and first bytes
-        strings: dict[tuple[bytes, int], list] = {}  # what lies where, of single strings by owner
-        for i in np.flatnonzero(answer >= 2).tolist():
-            first = int(seg.entry[i])
-            data = seg.bytes(first)
-            own = np.flatnonzero(seg.is_owner[first : ends[i]]) + first
-            if answer[i] == 2:
-                where.setdefault(int(seg.shard[first]), []).append((int(seg.lead[first]), int(seg.owner[i]), data, len(lies)))
-                lies.append((seg.row[own], seg.start[own]))
-            else:
-                for j in range(len(data) - WIDTH + 1):
-                    strings.setdefault((data[j : j + WIDTH], int(seg.owner[i])), []).append((own, j))
-        for (part, owner), found in strings.items():
-            h = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
-            where.setdefault(h % shards, []).append((1 << 40 | h >> 32, owner, part, len(lies)))
-            lies.append((np.concatenate([seg.row[own] for own, _ in found]), np.concatenate([seg.start[own] + j for own, j in found])))
-        many = [np.concatenate(x) for x in zip(*lies)] if lies else [np.zeros(0, np.int64)] * 2
-        mine = _pack(seg.row[gone].astype("<i4"), seg.start[gone].astype("<i4"), (seg.start + seg.size)[gone].astype("<i4"), np.array([len(x) for x, _ in lies], "<i4"), *(x.astype("<i4") for x in many))
-        out = [(gid % shards, gid, True, zlib.compress(mine, 1))]
-        for s, found in where.items():
-            load = _pack(np.array([f[0] for f in found], "<u8"), np.array([f[1] for f in found], "<i8"), np.array([len(f[2]) for f in found], "<i4"), np.array([f[3] for f in found], "<i4"), np.frombuffer(b"".join(f[2] for f in found), np.uint8))
-            out.append((s, gid, False, zlib.compress(load, 1)))
+        gone = np.flatnonzero((answer[seg.of] == 1) | ~seg.is_owner) if len(seg.of) else np.zeros(0, np.int64)
+        gone = gone[np.argsort(seg.row[gone] << 32 | seg.start[gone])]
+        row, start, end = seg.row[gone], seg.start[gone], (seg.start + seg.size)[gone]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > end[:-1]))[: len(gone)])  # ends are in order as starts are
+        row, start, end = row[new], start[new], end[np.append(new[1:], len(gone))[: len(new)] - 1]
+        buffer, whole, own = seg.buffer(), np.flatnonzero(answer == 2), seg.is_owner & (answer[seg.of] >= 2)
+        first = seg.entry[whole]
+        # wanted segments, and the first of single strings that are equal in bytes and owner: shard, least hash, owner, place in the buffer, size
+        parts, lies_of, lies_at = _strings(seg, buffer, np.flatnonzero(answer == 3), own, shards)
+        sent = [np.concatenate(x) for x in zip((seg.shard[first], seg.lead[first].astype(np.uint64), seg.owner[whole], seg.lies(first), seg.size[first]), parts)]
+        mine = np.flatnonzero(own & (answer[seg.of] == 2))
+        times = np.concatenate((np.add.reduceat(own.astype(np.int64), seg.entry)[whole] if len(whole) else whole, np.bincount(lies_of[0], minlength=len(parts[0]))))
+        lies = np.concatenate((seg.row[mine], lies_of[1])), np.concatenate((seg.start[mine], lies_at))
+        out = [(gid % shards, gid, True, zlib.compress(_pack(*(x.astype("<i4") for x in (row, start, end, times, *lies))), 1))]
+        order = np.argsort(sent[0], kind="stable")
+        shard, lead, owner, place, size = (x[order] for x in sent)
+        for a, b in zip(*runs(shard)):
+            text = buffer[_each(place[a:b], size[a:b])]
+            out.append((int(shard[a]), gid, False, zlib.compress(_pack(lead[a:b].astype("<u8"), owner[a:b].astype("<i8"), size[a:b].astype("<i4"), order[a:b].astype("<i4"), text), 1)))
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "gid", "own", "load"), zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))})
 
     return run
@@ -300,8 +353,7 @@ def _ranges(own: list[bool], loads: list[bytes]) -> list[np.ndarray]:
     if replies:
         number, x, y = replies
         n = times[number].astype(np.int64)
-        first = (np.cumsum(times, dtype=np.int64) - times)[number]
-        lies = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        lies = _each((np.cumsum(times, dtype=np.int64) - times)[number], n)
         row, start, end = np.concatenate((row, at_row[lies])), np.concatenate((start, at[lies] + np.repeat(x, n))), np.concatenate((end, at[lies] + np.repeat(y, n)))
     by = np.lexsort((start, row))
     return [row[by], start[by], end[by]]

@@ -70,7 +70,7 @@ def _ranks(names: np.ndarray) -> np.ndarray:
     while n and int(rank.max()) < n - 1:
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, in whatever order they are
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
@@ -86,15 +86,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     up = np.append(text[change] < text[change + 1], True)
     smaller = np.repeat(up, runs)
     smaller[text == 0] = True
-    left = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
-    left = np.union1d(left, np.flatnonzero(text == 0)).astype(np.int32)
-    left = left[left > 0] if len(left) and left[0] == 0 and text[0] != 0 else left
+    is_left = text == 0
+    is_left[1:] |= smaller[1:] & ~smaller[:-1]
+    left = np.flatnonzero(is_left).astype(np.int32)
     ordered = left[np.argsort(text[left], kind="stable")]
     cut = np.searchsorted(text[ordered], np.arange(letters + 1))
     seeds = [ordered[a:b] for a, b in zip(cut[:-1], cut[1:])]
     _, small = _induce(text, smaller, seeds, letters)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
     rest = np.concatenate(small[1:])
     rest = rest[is_left[rest]]
     first = np.concatenate((seeds[0], rest)).astype(np.int64)
@@ -124,15 +122,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """By text position, letters in common with the suffix before it in order: compared where the letters in front of
     both differ, one less than at the position before where they are equal."""
     n = len(text)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[0]] = -1
     before[order[1:]] = order[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     free = (before <= 0) | (here == 0)
     p = np.flatnonzero(~free)
     free[p] = (text[p - 1] != text[before[p] - 1]) | (text[p - 1] == 0)
     at = np.flatnonzero(free & (before >= 0) & (text != 0))
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     a, b, k = at, before[at], 0
     while len(a):
         ok = (text[a + k] == text[b + k]) & (text[a + k] != 0)
